@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, sharding
+from . import chat, packing, sharding
 
 QUERIES = {
     "op1_perspective_rotation": chat.op1_perspective_rotation,
+    "op8_histogram_packing": packing.op8_histogram_packing,
     "op10_feistel_sharding": sharding.op10_feistel_sharding,
 }
 ORACLE = {

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, packing, sharding
+from . import chat, media, packing, sharding, warc
 
 QUERIES = {
     "op1_perspective_rotation": chat.op1_perspective_rotation,
+    "op7_warc_index_first": warc.op7_warc_index_first,
     "op8_histogram_packing": packing.op8_histogram_packing,
+    "op9_ogg_columns": media.op9_ogg_columns,
     "op10_feistel_sharding": sharding.op10_feistel_sharding,
 }
 ORACLE = {
     "op1_perspective_rotation": chat.OP1_SQL,
+    "op7_warc_index_first": warc.OP7_SQL,
 }

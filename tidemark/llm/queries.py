@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, media, packing, sharding, warc
+from . import chat, language, media, packing, quality, sharding, warc
 
 QUERIES = {
     "op1_perspective_rotation": chat.op1_perspective_rotation,
+    "op2_quadratic_discriminant": quality.op2_quadratic_discriminant,
+    "op6_nearest_centroid": language.op6_nearest_centroid,
     "op7_warc_index_first": warc.op7_warc_index_first,
     "op8_histogram_packing": packing.op8_histogram_packing,
     "op9_ogg_columns": media.op9_ogg_columns,

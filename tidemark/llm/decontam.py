@@ -106,43 +106,65 @@ def overlaps(w: np.ndarray, w_off: np.ndarray, idx: dict) -> list[tuple[int, int
     return out
 
 
+def blocks(benchmark: DataFrame):
+    """Indexes of the benchmark's items, each of at most BLOCK_WORDS words and one item."""
+    block, size = [], 0
+    for r in benchmark.select("item_id", "text").filter("text is not null").sort("item_id", "text").toLocalIterator():
+        block.append((r["item_id"], r["text"]))
+        size += len(r["text"]) // 2 + 1
+        if size >= BLOCK_WORDS:
+            yield index(block)
+            block, size = [], 0
+    if block:
+        yield index(block)
+
+
+def found(column: pa.Array, idx: dict):
+    """(first row of a step, its overlaps) over a batch's texts."""
+    raw, off = utf8(column)
+    for a, z in steps(off, STEP_BYTES):
+        w, w_off = words(raw[off[a] : off[z]], off[a : z + 1] - off[a], ALNUM)
+        rows = overlaps(w, w_off, idx) if len(w) else []
+        if rows:
+            yield a, rows
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows (doc_id, item_id, doc_from, doc_to, item_from, n_equal); places count words."""
     spark = docs.sparkSession
     batch_rows(spark)
-    out, block, size = [], [], 0
+    ids = docs.select("doc_id", "text")
+    whole = spark.createDataFrame([], OUT)
+    for idx in blocks(benchmark):
+        held = spark.sparkContext.broadcast(idx)
 
-    def search(items: list[tuple]) -> DataFrame:
-        held = spark.sparkContext.broadcast(index(items))  # at most BLOCK_WORDS words and one item
-
-        def work(batches):
-            idx = held.value
+        def work(batches, held=held):
             for b in batches:
-                raw, off = utf8(b.column(1))
-                for a, z in steps(off, STEP_BYTES):
-                    w, w_off = words(raw[off[a] : off[z]], off[a : z + 1] - off[a], ALNUM)
-                    rows = overlaps(w, w_off, idx) if idx and len(w) else []
-                    if not rows:
-                        continue
+                for a, rows in found(b.column(1), held.value):
                     text, item, *rest = zip(*rows, strict=True)
-                    ids = b.column(0)[a:z].take(pa.array(text))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([idx["ids"][i] for i in item], pa.int64()), *(pa.array(r, pa.int64()) for r in rest)], names=[x.split()[0] for x in OUT.split(", ")])
-
-        return docs.select("doc_id", "text").mapInArrow(work, OUT)
+                    yield pa.RecordBatch.from_arrays([b.column(0)[a:].take(pa.array(text)), pa.array([held.value["ids"][i] for i in item], pa.int64()), *(pa.array(r, pa.int64()) for r in rest)], names=[x.split()[0] for x in OUT.split(", ")])
 
-    for r in benchmark.select("item_id", "text").filter("text is not null").sort("item_id", "text").toLocalIterator():
-        block.append((r["item_id"], r["text"]))
-        size += len(r["text"]) // 2 + 1
-        if size >= BLOCK_WORDS:
-            out.append(search(block))
-            block, size = [], 0
-    if block or not out:
-        out.append(search(block))
-    whole = out[0]
-    for more in out[1:]:
-        whole = whole.unionByName(more)
+        whole = whole.unionByName(ids.mapInArrow(work, OUT))
     return whole
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs without any overlap."""
+    spark, at = docs.sparkSession, docs.columns.index("text")
+    batch_rows(spark)
+    for idx in blocks(benchmark):
+        held = spark.sparkContext.broadcast(idx)
+
+        def work(batches, held=held):
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                for a, rows in found(b.column(at), held.value):
+                    keep[[a + r[0] for r in rows]] = False
+                yield b.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(work, docs.schema)
+    return docs
+
+
 def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

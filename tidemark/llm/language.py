@@ -114,32 +114,51 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, centroids: int = CENTRO
     return {"idf": idf, "centroids": np.array(cents, np.float32), "names": names, "least": np.array(least)}
 
 
+def judged(texts: list, m: dict | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, cosine and rejection of each text."""
+    low = [t.lower() if t else "" for t in texts]
+    at = np.flatnonzero([LETTER.search(t) is not None for t in low])
+    names, score, reject = ["und"] * len(low), np.zeros(len(low)), np.ones(len(low), bool)
+    if m is not None and len(at):
+        cos = vectors(counts([low[i] for i in at]), m["idf"]) @ m["centroids"].T
+        best = np.argmax(cos, axis=1)
+        top = cos[np.arange(len(at)), best]
+        for i, j in zip(at, best, strict=True):
+            names[i] = m["names"][j]
+        score[at], reject[at] = np.clip(top, 0, 1), top < m["least"][best]
+    return names, score, reject
+
+
 def identify(docs: DataFrame, model: dict | None) -> DataFrame:
     """docs' doc_id with lang_pred, score (the cosine) and rejected."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)  # DIMS floats for each of CENTROIDS times the number of languages
 
     def work(batches):
-        m = held.value
         for b in batches:
             for a in range(0, b.num_rows, STEP_DOCS):
-                texts = [t.lower() if t else "" for t in b.column(1)[a : a + STEP_DOCS].to_pylist()]
-                lettered = np.array([LETTER.search(t) is not None for t in texts])
-                names, score, reject = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-                if m is not None and lettered.any():
-                    at = np.flatnonzero(lettered)
-                    cos = vectors(counts([texts[i] for i in at]), m["idf"]) @ m["centroids"].T
-                    best = np.argmax(cos, axis=1)
-                    top = cos[np.arange(len(at)), best]
-                    for i, j in zip(at, best, strict=True):
-                        names[i] = m["names"][j]
-                    score[at], reject[at] = np.clip(top, 0, 1), top < m["least"][best]
-                yield pa.RecordBatch.from_arrays([b.column(0)[a : a + STEP_DOCS], pa.array(names), pa.array(score), pa.array(reject)], names=["doc_id", "lang_pred", "score", "rejected"])
+                names, score, reject = judged(b.column(1)[a : a + STEP_DOCS].to_pylist(), held.value)
+                yield pa.RecordBatch.from_arrays([b.column(0)[a : a + STEP_DOCS], pa.array(names, pa.string()), pa.array(score), pa.array(reject)], names=["doc_id", "lang_pred", "score", "rejected"])
 
     batch_rows(spark)
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, model: dict | None) -> DataFrame:
+    """The rows of docs whose text is not rejected."""
+    spark = docs.sparkSession
+    held, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def work(batches):
+        for b in batches:
+            for a in range(0, b.num_rows, STEP_DOCS):
+                part = b.slice(a, STEP_DOCS)
+                yield part.filter(pa.array(~judged(part.column(at).to_pylist(), held.value)[2]))
+
+    batch_rows(spark)
+    return docs.mapInArrow(work, docs.schema)
+
+
 def op6_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from ._common import batch_rows, table, written
 
 MAX_LEN = 2048
-#: Words whose ids a task remembers; beyond it the memory starts anew.
-CACHE_WORDS = 200_000
+#: Words whose ids a Python worker remembers, from task to task; beyond it the memory starts anew.
+CACHE_WORDS = 600_000
 LONGEST_CACHED = 48
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
@@ -69,11 +69,21 @@ class WordIds:
         return out
 
 
+_CODERS: dict[str, WordIds] = {}
+
+
+def coder_for(path: str) -> WordIds:
+    """The worker's own coder; what it has learned serves the worker's later tasks too."""
+    if path not in _CODERS:
+        _CODERS[path] = WordIds(path)
+    return _CODERS[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, max_len: int) -> DataFrame:
     end = array("I", [end_id]).tobytes()
 
     def cut(batches):
-        coder, seen, part = WordIds(tokenizer), np.zeros(max_len + 1, np.int64), TaskContext.get().partitionId()
+        coder, seen, part = coder_for(tokenizer), np.zeros(max_len + 1, np.int64), TaskContext.get().partitionId()
         for b in batches:
             rows = []
             ids, texts = b.column(0).to_pylist(), b.column(1)

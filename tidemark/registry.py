@@ -2,5 +2,16 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from .plans import dag, pairs, reports, signals  # noqa: F401  the modules define the views
+
+
+def _query(name: str):
+    def query(spark, sf_dir):
+        return dag.run(spark, sf_dir, name)
+
+    query.__name__ = name
+    return query
+
+
+QUERIES: dict = {name: _query(name) for name in dag.VIEWS}
+ORACLE: dict[str, str] = {name: dag.text(name, "duckdb") for name in dag.VIEWS}

@@ -16,6 +16,7 @@ each; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 
@@ -26,49 +27,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import batch_rows, table, written
+from ._common import batch_rows, steps, table, utf8, written
 
 MAX_LEN = 2048
 #: Words whose ids a Python worker remembers, from task to task; beyond it the memory starts anew.
-CACHE_WORDS = 600_000
-LONGEST_CACHED = 48
+CACHE_WORDS = 800_000
+LONGEST_CACHED = 40
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
 
 
 class WordIds:
     """Ids of a text as little-endian 32-bit words. Blanks and line feeds separate what this tokenizer treats apart
-    (it drops white space and merges within words), so each stretch between them is tokenised once and remembered."""
+    (it lower-cases, drops white space, splits letters from marks and merges within these), so each stretch between
+    them, less a full stop or comma at its end, is tokenised once and remembered. Texts with combining marks or with
+    the beginning of a special token are tokenised whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def learn(self, words: set[str]) -> None:
-        new = list(words.difference(self.known))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = array("I", e.ids).tobytes()
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def learn(self, words: set[bytes]) -> None:
+        new = [w.decode() for w in words]
+        plain = [w for w in new if w.isalpha()]
+        for at in range(0, len(plain), 200):
+            part = plain[at : at + 200]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            end = 4 * (np.flatnonzero(self.ends[ids]) + 1)  # a word of letters alone ends where a piece with the word's end does
+            if len(end) != len(part):
+                for w in part:
+                    self.known[w.encode()] = self.whole(w)
+                continue
+            data, first = ids.tobytes(), 0
+            for w, last in zip(part, end.tolist(), strict=True):
+                self.known[w.encode()] = data[first:last]
+                first = last
+        for w in new:
+            if not w.isalpha():
+                self.known[w.encode()] = self.whole(w)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            try:
-                ids = b"".join(map(self.known.__getitem__, words))
-            except KeyError:
-                self.learn(set(words))
-                ids = b"".join(map(self.known.__getitem__, words))
-                if len(words) > 4096:
-                    for w in [w for w in set(words) if len(w) > LONGEST_CACHED]:
-                        del self.known[w]
-                if len(self.known) > CACHE_WORDS:
-                    self.known.clear()
-            out.append(ids)
+        data = [t.encode() for t in texts]
+        split = [None if b"<|" in d or b"\xcc" in d or b"\xcd" in d else _MARK.sub(rb"\1 \2", d.lower()).replace(b"\n", b" ").split(b" ") for d in data]
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        fresh = set().union(*(w for w in split if w)).difference(self.known)
+        self.learn(fresh)
+        out = [self.whole(t) if w is None else b"".join(map(self.known.__getitem__, w)) for t, w in zip(texts, split, strict=True)]
+        for w in fresh:
+            if len(w) > LONGEST_CACHED:
+                self.known.pop(w, None)
         return out
 
 
+_MARK = re.compile(rb"([a-z])([.,])(?=[ \n])")
 _CODERS: dict[str, WordIds] = {}
 
 
@@ -86,9 +106,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, max_len: int) -> DataFr
         coder, seen, part = coder_for(tokenizer), np.zeros(max_len + 1, np.int64), TaskContext.get().partitionId()
         for b in batches:
             rows = []
-            ids, texts = b.column(0).to_pylist(), b.column(1)
-            for i, doc_id in enumerate(ids):
-                data = coder.encode([texts[i].as_py() or ""])[0] + end
+            off = utf8(b.column(1))[1]
+            coded = (x for a, z in steps(off) for x in coder.encode([t or "" for t in b.column(1)[a:z].to_pylist()]))
+            for doc_id, data in zip(b.column(0).to_pylist(), coded, strict=True):
+                data += end
                 n = len(data) // 4
                 for at in range(0, n, max_len):
                     length = min(max_len, n - at)

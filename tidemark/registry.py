@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import dag, pairs, reports, signals  # noqa: F401  the modules define the views
+from .operators import queries as operators
+from .plans import dag
 
 
 def _query(name: str):
@@ -13,5 +14,5 @@ def _query(name: str):
     return query
 
 
-QUERIES: dict = {name: _query(name) for name in dag.VIEWS}
-ORACLE: dict[str, str] = {name: dag.text(name, "duckdb") for name in dag.VIEWS}
+QUERIES: dict = {name: _query(name) for name in dag.VIEWS} | operators.QUERIES
+ORACLE: dict[str, str] = {name: dag.text(name, "duckdb") for name in dag.VIEWS} | operators.ORACLE

@@ -8,7 +8,7 @@ and its content is told by the XOR of its set bits' mixed addresses. A text take
 below. Blocks without a shingle are left out; a text with more filled blocks than D(b) still agrees in a filled one,
 and the few small texts with no more than that are also joined on their single shingles.
 
-Candidates pass the Hamming bound on dense sketches (as many bits as twice the shingles, folded to the smaller of
+Candidates pass the Hamming bound on dense sketches (at least as many bits as shingles, folded to the smaller of
 the two) and are then verified on the whole sets.
 
 Equal sets are one class from the start. Block contents shared by more than `HOT` classes (a passage that many texts
@@ -38,7 +38,7 @@ from ._words import NOT_BLANK, grams, words
 
 WIDTH = 5
 #: Classes that share a block's content beyond which no pairs are made of them, and the same within one task's stretch.
-HOT, HOT_IN_TASK = 48, 24
+HOT, HOT_IN_TASK = 16, 16
 #: Keys that a task gathers before it deals them to buckets, and bytes of a bucket.
 FLUSH_KEYS, BUCKET_BYTES = 1_500_000, 6 << 20
 MOST_BITS = 1 << 16
@@ -69,8 +69,8 @@ def fingerprint(h: np.ndarray) -> int:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """Parity bits, a power of two of them and at least twice as many as shingles, up to MOST_BITS."""
-    bits = min(MOST_BITS, max(64, 1 << int(2 * len(h) - 1).bit_length()))
+    """Parity bits, a power of two of them and at least as many as shingles, up to MOST_BITS."""
+    bits = min(MOST_BITS, max(64, 1 << int(len(h) - 1).bit_length()))
     return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
@@ -135,6 +135,8 @@ def dealt(docs: DataFrame, buckets: int) -> DataFrame:
 
     def flush(keys_, who, members):
         key, of = np.concatenate(keys_), np.concatenate(who)
+        # while they are dealt, keys are named by their bucket, which the high half tells, and the low half
+        key = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32) << np.uint64(32) | (key & np.uint64(0xFFFFFFFF))
         table_ = np.array(members, MEMBER)
         order = np.argsort(key, kind="stable")
         key, of = key[order], of[order]
@@ -146,15 +148,15 @@ def dealt(docs: DataFrame, buckets: int) -> DataFrame:
         # a marker is a key whose member number is -1
         cold = np.r_[key[~hot], marks]
         cold_of = np.r_[of[~hot], np.full(len(marks), -1)]
-        bucket = ((cold >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        order = np.argsort(bucket, kind="stable")
-        cold, cold_of, bucket = cold[order], cold_of[order], bucket[order]
+        order = np.argsort(cold, kind="stable")
+        cold, cold_of = cold[order], cold_of[order]
+        bucket = cold >> np.uint64(32)
         new = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-        for a, z in zip(new, np.r_[new[1:], len(bucket)], strict=True):
-            rows.append((int(bucket[a]), False, _blob(cold[a:z], cold_of[a:z], table_)))
+        for a, z in zip(new, np.r_[new[1:], len(bucket)][: len(new)], strict=True):
+            rows.append((int(bucket[a]), False, _blob(cold[a:z] & np.uint64(0xFFFFFFFF), cold_of[a:z], table_, False)))
         k, o = key[hot], of[hot]
         for a in range(0, len(k), 50_000):
-            rows.append((int(mix64(k[a : a + 1] + np.uint64(a))[0] % np.uint64(buckets)), True, _blob(k[a : a + 50_000], o[a : a + 50_000], table_)))
+            rows.append((int(mix64(k[a : a + 1] + np.uint64(a))[0] % np.uint64(buckets)), True, _blob(k[a : a + 50_000], o[a : a + 50_000], table_, True)))
         cols = list(zip(*rows, strict=True))
         for a in range(0, len(rows), 64):
             yield pa.RecordBatch.from_arrays([pa.array(cols[0][a : a + 64], pa.int32()), pa.array(cols[1][a : a + 64]), pa.array(cols[2][a : a + 64], pa.binary())], names=["bucket", "hot", "blob"])
@@ -181,21 +183,23 @@ def dealt(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(work, "bucket int, hot boolean, blob binary")
 
 
-def _blob(key: np.ndarray, of: np.ndarray, members: np.ndarray) -> bytes:
-    """Keys, numbers into the members that occur, and those."""
+def _blob(key: np.ndarray, of: np.ndarray, members: np.ndarray, wide: bool) -> bytes:
+    """Keys (in full, or the low half where the bucket tells the rest), numbers into the members that occur, and those."""
     used, number = np.unique(of, return_inverse=True)
     real = used >= 0
     table_ = np.zeros(len(used), MEMBER)
     table_[real] = members[used[real]]
     table_["flag"][~real] = -1
-    return np.array([len(key), len(used)], np.int64).tobytes() + key.tobytes() + number.astype(np.uint32).tobytes() + table_.tobytes()
+    small = len(used) <= 1 << 16
+    return np.array([len(key), len(used), small], np.int64).tobytes() + key.astype(np.uint64 if wide else np.uint32).tobytes() + number.astype(np.uint16 if small else np.uint32).tobytes() + table_.tobytes()
 
 
-def _unblob(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, m = np.frombuffer(data, np.int64, 2)
-    key = np.frombuffer(data, np.uint64, n, 16)
-    number = np.frombuffer(data, np.uint32, n, 16 + 8 * n)
-    return key, np.frombuffer(data, MEMBER, m, 16 + 12 * n)[number]
+def _unblob(data: bytes, wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    n, m, small = np.frombuffer(data, np.int64, 3).tolist()
+    key = np.frombuffer(data, np.uint64 if wide else np.uint32, n, 24).astype(np.uint64)
+    at = 24 + n * (8 if wide else 4)
+    number = np.frombuffer(data, np.uint16 if small else np.uint32, n, at)
+    return key, np.frombuffer(data, MEMBER, m, at + n * (2 if small else 4))[number]
 
 
 FOUND = "hot boolean, key long, a long, b long, slack int, flag int"
@@ -215,8 +219,10 @@ def matched(bucketed: DataFrame, buckets: int) -> DataFrame:
     def group(t: pa.Table) -> pa.Table:
         out = []
         key, who = [], []
+        own = np.uint64(t["bucket"][0].as_py()) << np.uint64(32)
         for hot, blob in zip(t["hot"].to_pylist(), t["blob"], strict=True):
-            k, m = _unblob(blob.as_py())
+            k, m = _unblob(blob.as_py(), hot)
+            k = k if hot else k | own
             if hot:
                 out.append(rows(True, key=k, a=m["node"].copy(), slack=m["slack"].copy(), flag=m["flag"].copy()))
             else:
@@ -339,14 +345,14 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     own = written(classes(docs), "classes")
     nodes = written(own.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     total = nodes.agg(F.sum("n")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 12 // BUCKET_BYTES) + 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 7 // BUCKET_BYTES) + 1)
     found = written(matched(dealt(docs, buckets), buckets), "matched")
     pairs = found.filter("not hot").select("a", "b").distinct()
     hot = found.filter("hot").select("key", "a", "slack", "flag").distinct()
-    # texts that have too few infrequent keys to be found by them
-    left = hot.groupBy("a", "flag", "slack").agg(F.count(F.lit(1)).alias("n")).filter("n > slack").select("a", "flag")
-    groups = written(hot.join(left, ["a", "flag"], "left_semi").select("key", "a"), "groups")
-    first = groups.groupBy("key").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # texts that have too few infrequent keys to be found by them; the fewer of these, the nearer to a group's middle
+    left = hot.groupBy("a", "flag", "slack").agg(F.count(F.lit(1)).alias("n")).filter("n > slack").select("a", "flag", (F.col("n") - F.col("slack")).alias("middle"))
+    groups = written(hot.join(left, ["a", "flag"]).select("key", "a", "middle"), "groups")
+    first = groups.groupBy("key").agg(F.max(F.struct("middle", "a")).alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("top.a").alias("b"))
     stars = groups.join(first, "key").select("a", "b").filter("a <> b").distinct()
     candidates = written(near(pairs.unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), nodes), "candidates")
     in_groups = groups.select("a").distinct().join(nodes.withColumnRenamed("node", "a"), "a").select(F.col("rep").alias("id"))
@@ -365,7 +371,10 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     sizes = apart.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", F.col("main.part").alias("main"))
     few = apart.join(main, "key").filter("part <> main").select("key", F.col("a").alias("b"), F.col("part").alias("b_part"))
-    cross = apart.join(few, "key").filter("part <> b_part").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # by text and component first, so that a pair is formed once and not for each key that it shares
+    there = written(few.join(sizes.select("key", "part"), "key").filter("part <> b_part").select("b", "part").distinct(), "there")
+    inside = apart.select("a", "part").distinct()
+    cross = there.join(inside, "part").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = linked(near(cross, nodes), sets)
     part = components(edges.unionByName(more))
     final = nodes.select("node", "rep").join(part, F.col("rep") == F.col("id"), "left").select("node", F.coalesce("component", "rep").alias("component"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans import dag, pairs, reports, signals  # noqa: F401  the modules define the views
+from ..plans import dag, pairs, reports, reports_more, signals  # noqa: F401  the modules define the views
 from ..sources import readers
 from ..streaming import analyzer
 from . import graph, interp, regimes, windows

@@ -31,6 +31,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import batch_rows, mix64, steps, table, utf8, written
@@ -42,6 +43,8 @@ HOT, HOT_IN_TASK = 16, 16
 #: Keys that a task gathers before it deals them to buckets, and bytes of a bucket.
 FLUSH_KEYS, BUCKET_BYTES = 1_500_000, 6 << 20
 MOST_BITS = 1 << 16
+#: Texts in a block of those that are left to be compared one by one.
+BLOCK = 512
 _Z = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -292,6 +295,37 @@ def near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a_id", "b_id", "a_n", "b_n", "a_s", "b_s").mapInArrow(work, "a long, b long").distinct()
 
 
+def blockwise(there: DataFrame, inside: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Like near(), for each (b, part) of there against each (a, part) of inside; blocks of either meet, not rows."""
+    n = lambda df, name: df.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    sizes = n(inside, "a_blocks").join(n(there, "b_blocks"), "part")
+    about = nodes.select(F.col("node"), "rep", "n", "sketch")
+    block = lambda m: F.pmod(F.xxhash64("node"), F.col(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    left = inside.withColumnRenamed("a", "node").join(sizes, "part").select("part", "node", block("a_blocks").alias("i"), every("b_blocks").alias("j"), F.lit(True).alias("mine"))
+    right = there.withColumnRenamed("b", "node").join(sizes, "part").select("part", "node", every("a_blocks").alias("i"), block("b_blocks").alias("j"), F.lit(False).alias("mine"))
+    rows = left.unionByName(right).join(about, "node").select("part", "i", "j", "mine", "rep", "n", "sketch")
+
+    def group(t: pa.Table) -> pa.Table:
+        mine, rep, n, bits = t["mine"].to_numpy(), t["rep"].to_numpy(), t["n"].to_numpy(), t["sketch"].to_pylist()
+        out = []
+        size = np.array([len(x) for x in bits])
+        stacks = {k: (np.flatnonzero(mine & (size == k)), np.array([np.frombuffer(bits[i], np.uint8) for i in np.flatnonzero(mine & (size == k))])) for k in np.unique(size[mine])}
+        for j in np.flatnonzero(~mine):
+            y = np.frombuffer(bits[j], np.uint8)
+            for k, (at, x) in stacks.items():
+                low = min(k, len(y))
+                p = np.bitwise_xor.reduce(x.reshape(len(x), -1, low), axis=1)
+                q = np.bitwise_xor.reduce(y.reshape(-1, low), axis=0)
+                total = n[at] + n[j]
+                most = total - 2 * -(-3 * total // 7)
+                ok = (np.bitwise_count(p ^ q).sum(1) <= most) & (4 * np.minimum(n[at], n[j]) >= 3 * np.maximum(n[at], n[j])) & (rep[at] != rep[j])
+                out += [(min(rep[i], rep[j]), max(rep[i], rep[j])) for i in at[ok]]
+        return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    return rows.groupBy("part", "i", "j").applyInArrow(group, "a long, b long").distinct()
+
+
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, h): the whole sets of the documents in ids."""
 
@@ -349,9 +383,12 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     found = written(matched(dealt(docs, buckets), buckets), "matched")
     pairs = found.filter("not hot").select("a", "b").distinct()
     hot = found.filter("hot").select("key", "a", "slack", "flag").distinct()
-    # texts that have too few infrequent keys to be found by them; the fewer of these, the nearer to a group's middle
+    # Texts that have too few infrequent keys to be found by them. Linked ones agree in all keys but D, so in the order
+    # of frequency each needs its first D + 1 keys alone: the infrequent ones and as many more as are lacking.
     left = hot.groupBy("a", "flag", "slack").agg(F.count(F.lit(1)).alias("n")).filter("n > slack").select("a", "flag", (F.col("n") - F.col("slack")).alias("middle"))
-    groups = written(hot.join(left, ["a", "flag"]).select("key", "a", "middle"), "groups")
+    often = hot.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
+    ranked = hot.join(left, ["a", "flag"]).join(often, "key").withColumn("nth", F.row_number().over(W.partitionBy("a", "flag").orderBy("often", "key")))
+    groups = written(ranked.filter("nth <= middle or slack < 0").select("key", "a", "middle"), "groups")
     first = groups.groupBy("key").agg(F.max(F.struct("middle", "a")).alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("top.a").alias("b"))
     stars = groups.join(first, "key").select("a", "b").filter("a <> b").distinct()
     candidates = written(near(pairs.unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), nodes), "candidates")
@@ -373,9 +410,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     few = apart.join(main, "key").filter("part <> main").select("key", F.col("a").alias("b"), F.col("part").alias("b_part"))
     # by text and component first, so that a pair is formed once and not for each key that it shares
     there = written(few.join(sizes.select("key", "part"), "key").filter("part <> b_part").select("b", "part").distinct(), "there")
-    inside = apart.select("a", "part").distinct()
-    cross = there.join(inside, "part").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = linked(near(cross, nodes), sets)
+    more = linked(blockwise(there, apart.select("a", "part").distinct(), nodes), sets)
     part = components(edges.unionByName(more))
     final = nodes.select("node", "rep").join(part, F.col("rep") == F.col("id"), "left").select("node", F.coalesce("component", "rep").alias("component"))
     out = own.select("doc_id", "n_shingles", "node").join(final, "node", "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -30,12 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut and the data survive a lost executor."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of what is now written
-    return spark.read.schema(df.schema).parquet(path)
+    del df  # a frame that is referred to holds its shuffles
+    for _ in range(2):  # what the first round drops holds the rest
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of what is now written
+        time.sleep(0.3)
+    return spark.read.schema(schema).parquet(path)
 
 
 def batch_rows(spark: SparkSession, rows: int = 1000) -> None:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import STEP_BYTES, batch_rows, mix64, steps, table, utf8, written
+from ._common import STEP_BYTES, batch_rows, mix64, ranges, steps, table, utf8, written
 from ._suffix import suffix_array
 
 LENGTH, GRAM = 50, 24
@@ -61,14 +61,10 @@ def window_hashes(x: np.ndarray, size: int) -> np.ndarray:
         have, base = 2 * have, base * base % (1 << 64)
 
 
-def anchors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first window, last window + 1) of each anchor of a text; every window has exactly one anchor."""
-    n = len(x) - LENGTH + 1
-    if n <= 0:
-        z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z, z
+def anchors(x: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, first window, last window + 1) of the anchors of a batch of texts; every window has exactly one anchor."""
     parts = []
-    for a in range(0, n, STEP_BYTES):
+    for a in range(0, max(0, len(x) - LENGTH + 1), STEP_BYTES):
         g = window_hashes(x[a : min(len(x), a + STEP_BYTES + LENGTH - 1)], GRAM)
         # 40 bits of hash, then the place, so that the leftmost of equal ones wins
         v = (g >> np.uint64(24) << np.uint64(24)) | np.arange(len(g), dtype=np.uint64)
@@ -77,9 +73,19 @@ def anchors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             v = np.minimum(v[:-have], v[have:])
             have *= 2
         low = np.minimum(v[: len(v) - (SPAN - have)], v[SPAN - have :])
-        place = (low & np.uint64((1 << 24) - 1)).astype(np.int64)
-        new = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        parts.append((mix64(g[place[new]]), new + a, np.r_[new[1:], len(place)] + a))
+        first, last = (int(i) for i in np.searchsorted(off, [a, a + len(low) - 1], side="right") - 1)
+        begin = np.maximum(off[first : last + 1] - a, 0)
+        ends = np.minimum(off[first + 1 : last + 2] - LENGTH + 1 - a, len(low))
+        n = np.maximum(ends - begin, 0)
+        at = ranges(begin, n)  # windows that lie within one text
+        place = (low[at] & np.uint64((1 << 24) - 1)).astype(np.int64)
+        text = np.repeat(np.arange(first, last + 1), n)
+        new = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(at) else np.zeros(0, np.int64)
+        own = off[text[new]]
+        parts.append((text[new], mix64(g[place[new]]), at[new] + a - own, at[np.r_[new[1:], len(at)][: len(new)] - 1] + 1 + a - own))
+    if not parts:
+        z = np.zeros(0, np.int64)
+        return z, z.astype(np.uint64), z, z
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
@@ -122,6 +128,8 @@ def dealt(docs: DataFrame, buckets: int) -> DataFrame:
         key, of, ids = np.concatenate(keys), np.concatenate(who), np.array(ids, np.int64)
         order = np.argsort(key, kind="stable")
         key, of = key[order], of[order]
+        once = np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])]  # each anchor once a text
+        key, of = key[once], of[once]
         n = np.diff(np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)])
         hot, marks = np.repeat(n > HOT_IN_TASK, n), np.unique(key[np.repeat(n > HOT_IN_TASK, n)])
         rows = []
@@ -130,7 +138,7 @@ def dealt(docs: DataFrame, buckets: int) -> DataFrame:
         cold, cold_of = cold[order], cold_of[order]
         bucket = (cold >> np.uint64(32)).astype(np.int64)
         new = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-        for a, z in zip(new, np.r_[new[1:], len(bucket)], strict=True):
+        for a, z in zip(new, np.r_[new[1:], len(bucket)][: len(new)], strict=True):
             rows.append((int(bucket[a]), False, _blob(cold[a:z] & np.uint64(0xFFFFFFFF), cold_of[a:z], ids, False)))
         k, o = key[hot], of[hot]
         for a in range(0, len(k), 50_000):
@@ -142,16 +150,19 @@ def dealt(docs: DataFrame, buckets: int) -> DataFrame:
     def work(batches):
         keys, who, ids, size, seen = [], [], [], 0, set()
         for b in batches:
-            for name, x in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
-                if name in seen:
-                    continue
-                seen.add(name)
-                h = np.unique(narrow(anchors(x)[0], buckets))
-                if len(h):
-                    keys.append(h)
-                    who.append(np.full(len(h), len(ids), np.int64))
-                    ids.append(name)
-                    size += len(h)
+            raw, off = utf8(b.column(1))
+            names = b.column(0).to_pylist()
+            for a, z in steps(off):
+                text, h, _, _ = anchors(raw[off[a] : off[z]], off[a : z + 1] - off[a])
+                fresh = np.zeros(z - a, bool)
+                for i, name in enumerate(names[a:z]):
+                    fresh[i] = name not in seen
+                    seen.add(name)
+                keep = fresh[text]
+                keys.append(narrow(h[keep], buckets))
+                who.append(text[keep] + len(ids))
+                ids += names[a:z]
+                size += len(keys[-1])
                 if size >= FLUSH_KEYS:
                     yield from flush(keys, who, ids)
                     keys, who, ids, size, seen = [], [], [], 0, set()
@@ -185,7 +196,7 @@ def shared(bucketed: DataFrame, buckets: int) -> DataFrame:
         order = np.argsort(d, kind="stable")
         k, d = k[order], d[order]
         at = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else np.zeros(0, np.int64)
-        ends = np.r_[at[1:], len(d)]
+        ends = np.r_[at[1:], len(d)][: len(at)]
         return pa.table([pa.array(d[at]), pa.array([k[a:z].tobytes() for a, z in zip(at, ends, strict=True)], pa.binary())], names=["name", "keys"])
 
     return bucketed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(group, "name long, keys binary")
@@ -197,23 +208,34 @@ CONTEXT = "name long, id long, start int, context_key binary, anchor long, conte
 def contexts(docs: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
     """(name, id, start, context_key, anchor, context) for every place of a shared anchor; the context itself once a batch."""
 
+    def named(text, key):
+        return mix64(key ^ mix64(text.astype(np.uint64) + np.uint64(1)))
+
     def work(batches):
         for b in batches:
-            names, ids, seen, out = b.column(0).to_pylist(), b.column(1).to_pylist(), set(), []
-            for i, x in enumerate(texts_of(b.column(2))):
-                own = np.unique(np.frombuffer(b"".join(b.column(3)[i].as_py()), np.uint64))
-                h, lo, hi = anchors(x)
-                short = narrow(h, buckets)
-                keep = own[np.minimum(np.searchsorted(own, short), len(own) - 1)] == short
-                data = x.tobytes()
-                for key, a, z in zip(h[keep].view(np.int64).tolist(), lo[keep].tolist(), hi[keep].tolist(), strict=True):
-                    c = data[a : z + LENGTH - 1]
-                    digest = hashlib.blake2b(c, digest_size=12).digest()
-                    out.append((names[i], ids[i], a, digest, key, None if digest in seen else c))
-                    seen.add(digest)
-            for a in range(0, len(out), 20_000):
-                c = list(zip(*out[a : a + 20_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(c, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=[x.split()[0] for x in CONTEXT.split(", ")])
+            names, ids, seen = b.column(0).to_pylist(), b.column(1).to_pylist(), set()
+            raw, off = utf8(b.column(2))
+            own = [np.frombuffer(b"".join(x), np.uint64) for x in b.column(3).to_pylist()]
+            for a, z in steps(off):
+                data, base = raw[off[a] : off[z]].tobytes(), (off[a:z] - off[a]).tolist()
+                text, h, lo, hi = anchors(raw[off[a] : off[z]], off[a : z + 1] - off[a])
+                mine = np.sort(np.concatenate([named(np.full(len(k), i), k) for i, k in enumerate(own[a:z])]))
+                name = named(text, narrow(h, buckets))
+                keep = np.flatnonzero(mine[np.minimum(np.searchsorted(mine, name), len(mine) - 1)] == name)
+                digests, pieces = [], []
+                for t, f, e in zip(text[keep].tolist(), lo[keep].tolist(), hi[keep].tolist(), strict=True):
+                    c = data[base[t] + f : base[t] + e + LENGTH - 1]
+                    d = hashlib.blake2b(c, digest_size=12).digest()
+                    digests.append(d)
+                    pieces.append(None if d in seen else c)
+                    seen.add(d)
+                t = text[keep]
+                for q in range(0, len(keep), 20_000):
+                    s = slice(q, q + 20_000)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.array(names[a:z], np.int64)[t[s]]), pa.array(np.array(ids[a:z], np.int64)[t[s]]), pa.array(lo[keep[s]].astype(np.int32)), pa.array(digests[s], pa.binary()), pa.array(h[keep[s]].view(np.int64)), pa.array(pieces[s], pa.binary())],
+                        names=[x.split()[0] for x in CONTEXT.split(", ")],
+                    )
 
     keys = known.groupBy("name", "id").agg(F.collect_list("keys").alias("keys"))  # as many as the text has anchors at most
     return docs.join(keys, ["name", "id"]).select("name", "id", "text", "keys").mapInArrow(work, CONTEXT)
@@ -276,7 +298,7 @@ def settled(distinct: DataFrame, buckets: int) -> DataFrame:
         t = t.sort_by("anchor")
         key, anchor, low, text = t["context_key"].to_pylist(), t["anchor"].to_numpy(), t["low"].to_pylist(), t["context"].to_pylist()
         at = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-        ends = np.r_[at[1:], len(anchor)]
+        ends = np.r_[at[1:], len(anchor)][: len(at)]
         names, out, chunk, size = [], [], [], 0
 
         def flush():

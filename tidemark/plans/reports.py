@@ -154,9 +154,9 @@ view("v_unit_validation", "select s.signal_id, s.unit, u.signal_class, u.unit is
 view("converted", f"select o.cohort, o.signal_id, o.s0, {r('o.value * coalesce(c.factor, 1) + coalesce(c.term, 0)')} as si_value from @v_base o left join @unit_conversions c on o.value_unit = c.unit")
 view("v_signal_class_unit", "select s.signal_id, s.unit, coalesce(u.signal_class, 'unknown') as signal_class, coalesce(u.interpolation_valid, false) as interpolation_valid from @signals s left join @unit_signal_class u on lower(s.unit) = lower(u.unit)")
 view("v_signal_class_summary", "select signal_class, count(*) as n_signals, #list(signal_id; ',') as signals from @v_signal_class_unit group by signal_class")
-view("v_manifold_work_orders", """
-select m.cohort, m.signal_id, m.needs_hurst, m.needs_lyapunov, m.needs_fft, m.needs_garch, case when m.needs_lyapunov then 1 when m.needs_garch or m.needs_fft then 2 else 3 end as priority from @v_manifold_requests m""")
-view("v_work_order_summary", "select priority, count(*) as n, count(*) filter (where needs_hurst) as n_hurst, count(*) filter (where needs_garch) as n_garch from @v_manifold_work_orders group by priority")
+view("v_engine_work_orders", """
+select m.cohort, m.signal_id, m.needs_hurst, m.needs_lyapunov, m.needs_fft, m.needs_garch, case when m.needs_lyapunov then 1 when m.needs_garch or m.needs_fft then 2 else 3 end as priority from @v_engine_requests m""")
+view("v_work_order_summary", "select priority, count(*) as n, count(*) filter (where needs_hurst) as n_hurst, count(*) filter (where needs_garch) as n_garch from @v_engine_work_orders group by priority")
 view("v_chart_top_correlations", "select cohort, signal_a, signal_b, correlation from @v_correlation_matrix where abs(correlation) > 0.02 order by abs(correlation) desc, cohort, signal_a, signal_b limit 20")
 view("v_graph_nodes", "select r.cohort, r.signal_id, r.role, coalesce(d.degree, 0) as degree, case r.role when 'source' then 'red' when 'sink' then 'blue' when 'driver' then 'orange' else 'grey' end as colour from @v_causal_roles r left join @v_node_degree d on r.cohort = d.cohort and r.signal_id = d.signal_id")
 view("v_graph_edges", "select cohort, source, target, weight, edge_type from @v_causal_graph where weight > 0")

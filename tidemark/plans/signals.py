@@ -224,10 +224,10 @@ select t.cohort, t.signal_id, t.monotonicity, m.crossing_rate, s.is_stationary,
             when v.is_clustered then 'volatility_clustered' when not s.is_stationary then 'non_stationary' else 'stationary' end as behavioral_type
 from @v_trend_detection t left join @v_mean_reversion m on {_on('m')} left join @v_stationarity s on {_on('s')} left join @v_volatility_clustering v on {_on('v')}
 left join @v_persistence p on {_on('p')} left join @v_chaos_proxy c on {_on('c')} left join @v_signal_class k on {_on('k')}""")
-view("v_manifold_requests", """
+view("v_engine_requests", """
 select cohort, signal_id, persistence is not null and persistence <> 'random' as needs_hurst, behavioral_type = 'chaotic' as needs_lyapunov, behavioral_type = 'periodic' as needs_fft, is_clustered as needs_garch,
        not is_stationary as needs_wavelet, behavioral_type in ('chaotic', 'periodic') as needs_rqa, behavioral_type <> 'trending' as needs_sampen from @v_signal_typology""")
-view("v_typology_complete", "select t.*, q.needs_hurst, q.needs_lyapunov, q.needs_fft, q.needs_garch from @v_signal_typology t join @v_manifold_requests q on t.cohort = q.cohort and t.signal_id = q.signal_id")
+view("v_typology_complete", "select t.*, q.needs_hurst, q.needs_lyapunov, q.needs_fft, q.needs_garch from @v_signal_typology t join @v_engine_requests q on t.cohort = q.cohort and t.signal_id = q.signal_id")
 
 # --- temporal shape ----------------------------------------------------------------------------------------------
 view("signal_trend", f"""

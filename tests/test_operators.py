@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import engines as E
 from tidemark.operators import graph, interp, regimes, windows
 from tidemark.sources import readers
 from tidemark.streaming import analyzer
@@ -24,6 +25,16 @@ def test_geometry_of_a_line_of_signals(spark):
     assert "effective_dim_d1" in windows.geometry_dynamics(windows.cohort_geometry(v, ["rms", "peak"])).columns
 
 
+def test_ftle_uses_whole_segments_and_sums_them_up(spark):
+    y = np.random.default_rng(2).normal(size=1300)
+    y[:100] = np.sin(np.arange(100) / 8)
+    rows = [("a", "x", float(i), float(v)) for i, v in enumerate(y)]
+    got = sorted(windows.ftle(spark.createDataFrame(rows, readers.OBSERVATIONS), 630).collect(), key=lambda r: r["segment"])
+    want = [E.rosenstein(y[:630])[0], E.rosenstein(y[630:1260])[0]]
+    assert np.allclose([r["ftle"] for r in got[:2]], want) and got[2]["ftle"] is None and want[0] != E.rosenstein(y[230:630])[0]
+    assert np.allclose([(r["ftle_mean"], r["ftle_std"]) for r in got], (np.mean(want), np.std(want, ddof=1)))
+
+
 def test_granger_finds_the_driver(spark):
     r = np.random.default_rng(0)
     x = r.normal(size=500)

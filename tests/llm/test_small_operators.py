@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -116,6 +117,20 @@ def test_masks_find_every_item_that_is_planted_whole():
     assert {(a, b) for a, b, *_ in decontam.overlaps(w, w_off, idx)} == {(i, i) for i in range(20)}
 
 
+@pytest.mark.parametrize("n", range(1, 19))
+def test_every_acceptable_pattern_of_replaced_words_is_found(n):
+    idx = decontam.index([(0, " ".join(f"word{i}" for i in range(n)))])
+    equal = np.array([[i not in gone for i in range(n)] for m in range(n // 2 + 1) for gone in itertools.combinations(range(n), m) if m <= 5])
+    w = np.where(equal, idx["words"], np.arange(equal.size, dtype=np.uint64).reshape(equal.shape))
+    got = {r[0] for r in decontam.overlaps(w.ravel(), np.arange(0, w.size + 1, n), idx)}
+    want = set()
+    for k, e in enumerate(equal):
+        f, t = decontam.best(e)
+        if e[f:t].sum() >= min(decontam.MIN_WORDS, 0.9 * n) and e[f:t].mean() >= decontam.MIN_SHARE:
+            want.add(k)
+    assert 0 in want and got == want
+
+
 # --- 7 ---------------------------------------------------------------------------------------------------------------
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "x" * 300

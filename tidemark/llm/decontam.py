@@ -1,17 +1,19 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Words (letters and digits, lower-cased) of every benchmark item are hashed under fixed masks that ignore some
-positions of a window of `SPAN` words, so a window still hits where an ignored word was replaced. The same hashes of
-every document are looked up; around each hit, item and document are aligned and the best stretch of the overlap
-(+1 for an equal word, -`PENALTY` for another) is kept if it has at least `MIN_WORDS` equal words, or nine tenths of
-a shorter item, and at least `MIN_SHARE` of its words are equal.
+Words (letters and digits, lower-cased) of every benchmark item are hashed under the fixed masks `MASKS`. The same
+hashes of every document are looked up; around each hit, item and document are aligned and the best stretch of the
+overlap (+1 for an equal word, -`PENALTY` for another) is kept if it has at least `MIN_WORDS` equal words, or nine
+tenths of a shorter item, and at least `MIN_SHARE` of its words are equal.
+
+The mask follows from that law: n equal words, three quarters of a stretch or more, have at most n / 3 others among
+them, so they stand in at most n / 3 + 1 runs, whose longest has 3 words or more once n > 6. Shorter overlaps are whole
+items. So whatever the verification accepts holds three equal words in a row, which the mask asks for.
 
 The benchmark is the stated query set: its index goes to the executors in blocks of at most `BLOCK_WORDS` words,
 each block one pass over the documents, so what is broadcast is bounded whatever the benchmark's size.
 
-Defined results: null and empty texts on either side match nothing; an item of fewer than `SPAN` words is one window
-without ignored positions, and one of fewer than `LEAST_ITEM` words is not searched for; equal items are reported
-each; a repeated document is reported each time; rows are distinct places (the same item may lie in a document
+Defined results: null and empty texts on either side match nothing; an item of fewer than ten words is found where
+all of its words are, so one of a single common word lies in many documents; equal items are reported each; a repeated document is reported each time; rows are distinct places (the same item may lie in a document
 twice); empty tables give an empty result; extra columns are ignored.
 """
 
@@ -25,11 +27,13 @@ from pyspark.sql import functions as F
 from ._common import STEP_BYTES, batch_rows, ranges, steps, table, utf8
 from ._words import ALNUM, grams, words
 
-SPAN = 12
-#: Fixed masks: eight of twelve positions count.
-MASKS = ("111011010011", "110100110111", "101111001101")
-MIN_WORDS, MIN_SHARE, PENALTY, LEAST_ITEM = 11, 0.75, 2, 5
+#: Fixed masks. With other limits below they are to be derived anew.
+MASKS = ("111",)
+SPAN = len(MASKS[0])
+MIN_WORDS, MIN_SHARE, PENALTY = 11, 0.75, 2
 BLOCK_WORDS = 200_000
+#: Hits, or words compared, that one vectorised step handles at a time.
+STEP_HITS = 1 << 20
 TABLE_BITS = 20
 
 OUT = "doc_id long, item_id long, doc_from long, doc_to long, item_from long, n_equal long"
@@ -55,7 +59,7 @@ def index(items: list[tuple]) -> dict | None:
     w, w_off = words(raw, off, ALNUM)
     seeds = {}
     sizes = np.diff(w_off)
-    short = [tuple(range(n)) for n in range(LEAST_ITEM, SPAN) if (sizes == n).any()]
+    short = [tuple(range(n)) for n in range(1, SPAN) if (sizes == n).any()]
     for offs in [*map(_offsets, MASKS), *short]:
         h, at = windows(w, w_off, offs)
         if offs in short:  # the whole item, and nothing of longer items
@@ -77,6 +81,21 @@ def best(equal: np.ndarray) -> tuple[int, int]:
     return int(np.argmin(c[: to + 1])), to
 
 
+def enough(found: np.ndarray, w: np.ndarray, w_off: np.ndarray, idx: dict) -> np.ndarray:
+    """Which of the alignments (text, item, shift) have as many equal words in all as the best stretch needs."""
+    text, item, shift = found.T
+    size = idx["off"][item + 1] - idx["off"][item]
+    lo = np.maximum(idx["off"][item], w_off[text] - shift)
+    n = np.minimum(idx["off"][item + 1], w_off[text + 1] - shift) - lo
+    equal = np.zeros(len(found), np.int64)
+    for a, z in steps(np.r_[0, np.cumsum(n)], STEP_HITS):
+        at = ranges(lo[a:z], n[a:z])
+        c = np.r_[0, np.cumsum(idx["words"][at] == w[at + np.repeat(shift[a:z], n[a:z])])]
+        to = np.cumsum(n[a:z])
+        equal[a:z] = c[to] - c[to - n[a:z]]
+    return equal >= np.minimum(MIN_WORDS, 0.9 * size)
+
+
 def overlaps(w: np.ndarray, w_off: np.ndarray, idx: dict) -> list[tuple[int, int, int, int, int, int]]:
     """(text, item, from, to, item's from, equal words) of all verified overlaps."""
     pairs = []
@@ -88,13 +107,14 @@ def overlaps(w: np.ndarray, w_off: np.ndarray, idx: dict) -> list[tuple[int, int
         keep = at + offs[-1] < w_off[text + 1]
         at, text = at[keep], text[keep]
         lo, hi = np.searchsorted(hashes, h[at], side="left"), np.searchsorted(hashes, h[at], side="right")
-        n = hi - lo
-        place = places[ranges(lo, n)]
-        item = np.searchsorted(idx["off"], place, side="right") - 1
-        pairs.append(np.column_stack([np.repeat(text, n), item, np.repeat(at, n) - place]))
+        for a, z in steps(np.r_[0, np.cumsum(hi - lo)], STEP_HITS):
+            n = (hi - lo)[a:z]
+            place = places[ranges(lo[a:z], n)]
+            item = np.searchsorted(idx["off"], place, side="right") - 1
+            pairs.append(np.unique(np.column_stack([np.repeat(text[a:z], n), item, np.repeat(at[a:z], n) - place]), axis=0))
     found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 3), np.int64)
     out = []
-    for text, item, shift in found.tolist():
+    for text, item, shift in found[enough(found, w, w_off, idx)].tolist():
         i0, i1 = int(idx["off"][item]), int(idx["off"][item + 1])
         d0, d1 = int(w_off[text]), int(w_off[text + 1])
         a, z = max(i0, d0 - shift), min(i1, d1 - shift)

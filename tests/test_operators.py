@@ -44,6 +44,31 @@ def test_granger_finds_the_driver(spark):
     assert got["x"] > 100 > got["y"]
 
 
+def test_granger_drops_missing_values_pair_by_pair_and_picks_the_lag(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=400)
+    y = np.r_[0, 0, 0, x[:-3]] + 0.1 * r.normal(size=400)
+    rows = [("a", s, float(i), float(v)) for s, z in (("x", x), ("y", y), ("short", x[:15])) for i, v in enumerate(z)]
+    rows += [("a", "sparse", float(i), float(x[i]) if i % 3 else None) for i in range(400)] + [("a", "x", float(2000 + i), float(x[i])) for i in range(60)]
+    obs = spark.createDataFrame(rows, readers.OBSERVATIONS)
+    got = {(r["block"], r["source"], r["target"]): r for r in windows.granger(obs).collect()}
+    assert len(got) == 2 * 4 * 3
+    b = got[0, "x", "y"]
+    assert (b["n"], b["best_lag"]) == (400, 3) and b["f_statistic"] > 1000 and b["p_value"] < 1e-12
+    assert got[0, "y", "x"]["p_value"] > 0.001 and got[0, "x", "sparse"]["n"] == 266
+    for k in ((0, "short", "x"), (1, "x", "y")):
+        assert got[k]["f_statistic"] is None and got[k]["p_value"] is None and got[k]["best_lag"] == 0
+    assert got[0, "short", "x"]["n"] == 15 and got[1, "x", "y"]["n"] == 0
+    fit = windows._granger(x, y, 3)
+    assert fit[2] == 3 and windows._granger(x, y, 2)[0] < 10
+
+
+def test_tail_of_the_f_distribution():
+    for f, a, b, p in ((4.0, 2, 10, (1 + 0.8) ** -5), (1.0, 7, 7, 0.5), (161.4476387975881, 1, 1, 0.05), (3.0, 2, 2000, (1 + 3 / 1000) ** -1000)):
+        assert windows._f_tail(f, a, b) == pytest.approx(p, rel=1e-9)
+    assert windows._f_tail(0.0, 3, 9) == 1
+
+
 def test_rolling_spearman(spark):
     p = spark.range(40).selectExpr("'a' as cohort", "'x' as signal_a", "'y' as signal_b", "cast(id as double) as s0", "cast(id as double) as va", "cast(-id * id as double) as vb")
     assert {round(r["spearman"], 9) for r in windows.rolling_spearman(p).collect()} == {-1.0}

@@ -18,6 +18,17 @@ def test_windows_cover_long_signals_once(spark):
     assert np.allclose(v["trend_slope"], 2) and np.allclose(v["signal_0_end"] - v["signal_0_start"], 63)
 
 
+def test_engines_get_their_declared_windows(spark):
+    y = np.random.default_rng(4).normal(size=3000)
+    rows = [("a", "x", float(i), float(v)) for i, v in enumerate(y)]
+    names = ("hurst", "spectral", "lyapunov")
+    v = windows.signal_vector(spark.createDataFrame(rows, readers.OBSERVATIONS), names=names).toPandas().sort_values("window_index")
+    for i in (0, 5, 62, 63, 91):  # 62 and 63 look back over the border of a segment
+        end = 63 + 32 * i
+        assert np.allclose(v.iloc[i, 6:].astype(float), E.vector(y[max(0, end - 255) : end + 1], min(end, 255), 1.0, names), equal_nan=True)
+    assert (v["hurst_r2"] < 1 - 1e-9).all()
+
+
 def test_geometry_of_a_line_of_signals(spark):
     v = windows.signal_vector(series(spark), names=("rms", "peak"))
     g = windows.cohort_geometry(v, ["rms", "peak"]).toPandas()

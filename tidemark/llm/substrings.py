@@ -3,42 +3,53 @@
 A byte is removed if a string of `LENGTH` bytes covers it that also starts in a document with a smaller doc_id.
 
 Every string of LENGTH bytes (a window) has one anchor: the `GRAM`-byte string in it with the smallest hash. A window
-can repeat in another document only if its anchor does, so first the anchors of all documents are dealt by hash and
-those that lie in two documents are told back. The windows of one anchor place are consecutive; the stretch of bytes
-that they span is the place's context. Equal contexts are merged (the smallest doc_id stays), and the contexts of an
-anchor meet in one bucket. There a suffix array is built over the bucket's contexts by linear grouping (_suffix.py);
-windows that are equal are neighbours in it, and each run of them gets its smallest doc_id. Stretches whose windows are
-all unlike any other in the bucket, by a hash, are left out of the array. The results go back by context to the
-documents, which cut the covered bytes out of their text.
-
-Texts are named by 64-bit hashes, and of equal texts the one with the smallest doc_id stands for all: a copy of LENGTH bytes or more of a text with a smaller doc_id
-goes entirely. Anchors with more than `HOT` contexts (the edge of a passage that very
-many documents have) are not gathered: their windows are grouped by digest with partial aggregation instead. Anchors
-frequent within one task's stretch are told at once, with a marker to their bucket.
+repeats in another text only if its anchor does. The windows of one place of an anchor are consecutive, and the bytes
+that they span are the place's context. Equal texts are one from the start (the smallest doc_id stands for them), and
+texts are dealt by hash into stretches of about STRETCH_BYTES, the unit in which everything is handled:
+
+1. A stretch sends each of its distinct anchors once, as 32 bits and a count, to the anchor's bucket. The bucket tells
+   the stretches back which anchors lie in several texts, and which in so many (`HOT`) that they are split.
+2. A stretch sends each distinct context of such anchors once, with its smallest doc_id, to the anchor's bucket. The
+   bucket tells the smallest doc_id of each window of each context back.
+3. A stretch cuts the windows out that have a smaller doc_id than their own.
+
+So a string that very many texts share counts once a stretch and not once a text. Within a bucket, an anchor with one
+context is settled by that. The windows of other contexts are cut into thirds, by how many bytes stand before the
+anchor; the windows of a third have the anchor and 18 bytes more in common with each other, so that only contexts equal
+in these can share one, and they meet under them. What is still several different strings there goes through a suffix
+array by linear grouping (_suffix.py), the common bytes as one symbol; equal windows are neighbours in its order, and
+each run of them gets its smallest doc_id. Split anchors are sent by ninths instead, i.e. under the anchor and 24 bytes
+more, with at most four bytes that differ: the number of different strings under one key is bounded by that and does
+not grow with the number of texts.
 
 Defined results: a null text is empty; a null doc_id counts as the largest; rows with equal ids are no earlier than
 each other, and repeated rows give the same result each; an empty table gives an empty result; extra columns are
-ignored.
+ignored. Texts are named by SHA-256; contexts and windows are compared byte by byte.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import STEP_BYTES, batch_rows, mix64, ranges, steps, table, utf8, written
+from ._common import STEP_BYTES, batch_rows, erase, mix64, ranges, steps, table, utf8, written
 from ._suffix import suffix_array
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
-HOT, HOT_IN_TASK = 256, 24
-FLUSH_KEYS, BUCKET_BYTES = 1_500_000, 6 << 20
-#: Bytes of contexts that one suffix array is built over (whole anchors).
-ARRAY_BYTES = 1 << 17
+#: Windows that share a key, of an anchor's SPAN: a third of them, or a ninth where the anchor is split.
+THIRD, NINTH = 9, 3
+#: Texts that have an anchor from which on it is split (at most 255, as counts are sent as bytes).
+HOT = 255
+STRETCH_BYTES, BUCKET_BYTES = 4 << 20, 6 << 20
+#: Symbols that one suffix array is built over (whole keys).
+ARRAY = 1 << 17
 LAST = 2**63 - 1
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = mix64(np.arange(11, 267, dtype=np.uint64))
@@ -50,7 +61,7 @@ def window_hashes(x: np.ndarray, size: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     h, have, base = _BYTE[x], 1, int(_B)
-    out, done, power = None, 0, 1
+    out, done = None, 0
     while True:
         if size & have:
             out = h[:n].copy() if out is None else out * np.uint64(pow(int(_B), have, 1 << 64)) + h[done : done + n]
@@ -61,8 +72,8 @@ def window_hashes(x: np.ndarray, size: int) -> np.ndarray:
         have, base = 2 * have, base * base % (1 << 64)
 
 
-def anchors(x: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash, first window, last window + 1) of the anchors of a batch of texts; every window has exactly one anchor."""
+def anchors(x: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, hash, place, first window, last window + 1) of the anchors of a batch of texts; every window has exactly one anchor."""
     parts = []
     for a in range(0, max(0, len(x) - LENGTH + 1), STEP_BYTES):
         g = window_hashes(x[a : min(len(x), a + STEP_BYTES + LENGTH - 1)], GRAM)
@@ -80,337 +91,388 @@ def anchors(x: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         at = ranges(begin, n)  # windows that lie within one text
         place = (low[at] & np.uint64((1 << 24) - 1)).astype(np.int64)
         text = np.repeat(np.arange(first, last + 1), n)
-        new = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(at) else np.zeros(0, np.int64)
-        own = off[text[new]]
-        parts.append((text[new], mix64(g[place[new]]), at[new] + a - own, at[np.r_[new[1:], len(at)][: len(new)] - 1] + 1 + a - own))
+        new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (text[1:] != text[:-1])]) if len(at) else np.zeros(0, np.int64)
+        own = off[text[new]] - a
+        parts.append((text[new], mix64(g[place[new]]), place[new] - own, at[new] - own, at[np.r_[new[1:], len(at)][: len(new)] - 1] + 1 - own))
     if not parts:
         z = np.zeros(0, np.int64)
-        return z, z.astype(np.uint64), z, z
+        return z, z.astype(np.uint64), z, z, z
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
-def texts_of(column: pa.Array):
-    raw, off = utf8(column)
-    for i in range(len(off) - 1):
-        yield raw[off[i] : off[i + 1]]
-
-
-MEMBERS = "bucket int, hot boolean, blob binary"
-
-
 def narrow(h: np.ndarray, buckets: int) -> np.ndarray:
     """The name of an anchor while it is dealt: its bucket, which the high half of its hash tells, and the low half."""
     return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
 
 
-def _blob(key: np.ndarray, of: np.ndarray, ids: np.ndarray, wide: bool) -> bytes:
-    """Keys (in full or the low half), numbers into the texts that occur, and those; a number of -1 is a marker."""
-    used, number = np.unique(of, return_inverse=True)
-    small = len(used) <= 1 << 16
-    return np.array([len(key), len(used), small], np.int64).tobytes() + key.astype(np.uint64 if wide else np.uint32).tobytes() + number.astype(np.uint16 if small else np.uint32).tobytes() + (used < 0).tobytes() + ids[used].tobytes()
+def firsts_of(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
 
 
-def _unblob(data: bytes, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, m, small = np.frombuffer(data, np.int64, 3).tolist()
-    at = 24
-    key = np.frombuffer(data, np.uint64 if wide else np.uint32, n, at).astype(np.uint64)
-    at += n * (8 if wide else 4)
-    number = np.frombuffer(data, np.uint16 if small else np.uint32, n, at)
-    at += n * (2 if small else 4)
-    mark, ids = np.frombuffer(data, bool, m, at), np.frombuffer(data, np.int64, m, at + m)
-    return key, ids[number], mark[number]
+def cuts(x: np.ndarray) -> list[tuple[int, int]]:
+    at = firsts_of(x)
+    return list(zip(at.tolist(), np.r_[at[1:], len(x)][: len(at)].tolist(), strict=True))
 
 
-def dealt(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, hot, blob): the distinct anchors of every text (name, text), dealt by hash; those of several texts of a stretch are known as shared and go apart, with a marker to the hash's bucket."""
+def batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    def flush(keys, who, ids):
-        key, of, ids = np.concatenate(keys), np.concatenate(who), np.array(ids, np.int64)
-        order = np.argsort(key, kind="stable")
-        key, of = key[order], of[order]
-        once = np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])]  # each anchor once a text
-        key, of = key[once], of[once]
-        n = np.diff(np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)])
-        hot, marks = np.repeat(n > HOT_IN_TASK, n), np.unique(key[np.repeat(n > HOT_IN_TASK, n)])
-        rows = []
-        cold, cold_of = np.r_[key[~hot], marks], np.r_[of[~hot], np.full(len(marks), -1)]
-        order = np.argsort(cold, kind="stable")
-        cold, cold_of = cold[order], cold_of[order]
-        bucket = (cold >> np.uint64(32)).astype(np.int64)
-        new = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-        for a, z in zip(new, np.r_[new[1:], len(bucket)][: len(new)], strict=True):
-            rows.append((int(bucket[a]), False, _blob(cold[a:z] & np.uint64(0xFFFFFFFF), cold_of[a:z], ids, False)))
-        k, o = key[hot], of[hot]
-        for a in range(0, len(k), 50_000):
-            rows.append((int(mix64(k[a : a + 1] + np.uint64(a))[0] % np.uint64(buckets)), True, _blob(k[a : a + 50_000], o[a : a + 50_000], ids, True)))
-        for a in range(0, len(rows), 64):
-            c = list(zip(*rows[a : a + 64], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1]), pa.array(c[2], pa.binary())], names=["bucket", "hot", "blob"])
-
-    def work(batches):
-        keys, who, ids, size, seen = [], [], [], 0, set()
-        for b in batches:
-            raw, off = utf8(b.column(1))
-            names = b.column(0).to_pylist()
-            for a, z in steps(off):
-                text, h, _, _ = anchors(raw[off[a] : off[z]], off[a : z + 1] - off[a])
-                fresh = np.zeros(z - a, bool)
-                for i, name in enumerate(names[a:z]):
-                    fresh[i] = name not in seen
-                    seen.add(name)
-                keep = fresh[text]
-                keys.append(narrow(h[keep], buckets))
-                who.append(text[keep] + len(ids))
-                ids += names[a:z]
-                size += len(keys[-1])
-                if size >= FLUSH_KEYS:
-                    yield from flush(keys, who, ids)
-                    keys, who, ids, size, seen = [], [], [], 0, set()
-        if size:
-            yield from flush(keys, who, ids)
 
-    return docs.select("name", "text").mapInArrow(work, MEMBERS)
+def tabled(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([batch(schema, rows)])
 
 
-def shared(bucketed: DataFrame, buckets: int) -> DataFrame:
-    """(name, keys): the anchors of a text, in a bucket, that lie in another text as well."""
+def packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
-    def group(t: pa.Table) -> pa.Table:
-        key, doc, mark, known = [], [], [], []
-        own = np.uint64(t["bucket"][0].as_py()) << np.uint64(32)
-        for hot, blob in zip(t["hot"].to_pylist(), t["blob"], strict=True):
-            k, d, m = _unblob(blob.as_py(), hot)
-            key.append(k if hot else k | own)
-            doc.append(d)
-            mark.append(m)
-            known.append(np.full(len(k), hot))
-        k, d, m, w = (np.concatenate(c) for c in (key, doc, mark, known))
-        del key, doc, mark, known
-        order = np.argsort(k, kind="stable")
-        k, d, m, w = k[order], d[order], m[order], w[order]
-        at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        n = np.diff(np.r_[at, len(k)])
-        several = np.maximum.reduceat(m, at) | (np.maximum.reduceat(d, at) != np.minimum.reduceat(d, at))
-        keep = (np.repeat(several, n) | w) & ~m
-        k, d = k[keep], d[keep]
-        order = np.argsort(d, kind="stable")
-        k, d = k[order], d[order]
-        at = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else np.zeros(0, np.int64)
-        ends = np.r_[at[1:], len(d)][: len(at)]
-        return pa.table([pa.array(d[at]), pa.array([k[a:z].tobytes() for a, z in zip(at, ends, strict=True)], pa.binary())], names=["name", "keys"])
 
-    return bucketed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(group, "name long, keys binary")
+def unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
 
 
-CONTEXT = "name long, id long, start int, context_key binary, anchor long, context binary"
+#: What blobs hold: a string that a stretch sends, a place of such a string, and a run of windows with one smallest doc_id.
+STRING = np.dtype([("number", "<u4"), ("size", "u1"), ("low", "<i8")])
+PLACE = np.dtype([("text", "<u4"), ("start", "<u4"), ("number", "<u4")])
+RUN = np.dtype([("number", "<u4"), ("first", "u1"), ("end", "u1"), ("low", "<i8")])
+SENT = pa.schema([("bucket", pa.int32()), ("stretch", pa.int64()), ("wide", pa.bool_()), ("blob", pa.binary())])
+SENT_SQL = "bucket int, stretch long, wide boolean, blob binary"
+TOLD = pa.schema([("stretch", pa.int64()), ("blob", pa.binary())])
+TOLD_SQL = "stretch long, blob binary"
 
 
-def contexts(docs: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
-    """(name, id, start, context_key, anchor, context) for every place of a shared anchor; the context itself once a batch."""
+# --- anchors that several texts share ----------------------------------------------------------------------------------
+def shared(texts: DataFrame, buckets: int) -> DataFrame:
+    """(stretch, blob): anchors of the stretch that lie in several texts; blob has their count, names, and whether they are split."""
 
-    def named(text, key):
-        return mix64(key ^ mix64(text.astype(np.uint64) + np.uint64(1)))
+    def told(stretch, keys):
+        key = np.sort(np.concatenate(keys))
+        at = firsts_of(key)
+        n = np.minimum(np.diff(np.r_[at, len(key)]), 255).astype(np.uint8)
+        key = key[at]
+        bucket = (key >> np.uint64(32)).astype(np.int64)
+        low = key.astype(np.uint32)
+        return [(int(bucket[a]), stretch, False, low[a:z].tobytes() + n[a:z].tobytes()) for a, z in cuts(bucket)]
 
-    def work(batches):
-        for b in batches:
-            names, ids, seen = b.column(0).to_pylist(), b.column(1).to_pylist(), set()
-            raw, off = utf8(b.column(2))
-            own = [np.frombuffer(b"".join(x), np.uint64) for x in b.column(3).to_pylist()]
-            for a, z in steps(off):
-                data, base = raw[off[a] : off[z]].tobytes(), (off[a:z] - off[a]).tolist()
-                text, h, lo, hi = anchors(raw[off[a] : off[z]], off[a : z + 1] - off[a])
-                mine = np.sort(np.concatenate([named(np.full(len(k), i), k) for i, k in enumerate(own[a:z])]))
-                name = named(text, narrow(h, buckets))
-                keep = np.flatnonzero(mine[np.minimum(np.searchsorted(mine, name), len(mine) - 1)] == name)
-                digests, pieces = [], []
-                for t, f, e in zip(text[keep].tolist(), lo[keep].tolist(), hi[keep].tolist(), strict=True):
-                    c = data[base[t] + f : base[t] + e + LENGTH - 1]
-                    d = hashlib.blake2b(c, digest_size=12).digest()
-                    digests.append(d)
-                    pieces.append(None if d in seen else c)
-                    seen.add(d)
-                t = text[keep]
-                for q in range(0, len(keep), 20_000):
-                    s = slice(q, q + 20_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.array(names[a:z], np.int64)[t[s]]), pa.array(np.array(ids[a:z], np.int64)[t[s]]), pa.array(lo[keep[s]].astype(np.int32)), pa.array(digests[s], pa.binary()), pa.array(h[keep[s]].view(np.int64)), pa.array(pieces[s], pa.binary())],
-                        names=[x.split()[0] for x in CONTEXT.split(", ")],
-                    )
-
-    keys = known.groupBy("name", "id").agg(F.collect_list("keys").alias("keys"))  # as many as the text has anchors at most
-    return docs.join(keys, ["name", "id"]).select("name", "id", "text", "keys").mapInArrow(work, CONTEXT)
-
-
-def settle(pieces: list[bytes], first: list[int]) -> list[np.ndarray]:
-    """For each context, the smallest doc_id that has each of its windows, given the smallest that has the context."""
-    raw = np.frombuffer(b"".join(pieces), np.uint8)
-    off = np.r_[0, np.cumsum([len(p) for p in pieces])]
-    counts = np.diff(off) - LENGTH + 1
-    starts = np.concatenate([np.arange(a, a + n) for a, n in zip(off[:-1], counts, strict=True)])
-    of = np.repeat(np.arange(len(pieces)), counts)
-    low = np.array(first, np.int64)[of]
-    # windows unlike any other by hash keep their own document; the rest go through the suffix array
-    h = window_hashes(raw, LENGTH)[starts]
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    twice = np.zeros(len(h), bool)
-    twice[order] = np.r_[False, s[1:] == s[:-1]] | np.r_[s[1:] == s[:-1], False]
-    todo = np.flatnonzero(twice)
-    if len(todo):
-        cut = np.flatnonzero(np.r_[True, (np.diff(starts[todo]) != 1) | (np.diff(of[todo]) != 0)])
-        runs = list(zip(cut, np.r_[cut[1:], len(todo)], strict=True))
-        symbols, windows = [], []
-        at = 0
-        for k, (a, z) in enumerate(runs):
-            begin = starts[todo[a]]
-            part = raw[begin : begin + (z - a) + LENGTH - 1].astype(np.int64) + len(runs)
-            symbols += [part, np.array([k])]  # a separator of its own ends each stretch
-            windows.append(np.arange(at, at + z - a))
-            at += len(part) + 1
-        text, windows = np.concatenate(symbols), np.concatenate(windows)
-        number = np.full(len(text), -1)
-        number[windows] = np.arange(len(windows))
-        sa = suffix_array(text)
-        sa = sa[number[sa] >= 0]
-        rows = np.lib.stride_tricks.sliding_window_view(text, LENGTH)
-        same = np.ones(max(0, len(sa) - 1), bool)
-        for a in range(0, len(same), 1 << 14):
-            same[a : a + (1 << 14)] = (rows[sa[a : a + (1 << 14) + 1][1:]] == rows[sa[a : a + (1 << 14)][: len(sa) - 1 - a]]).all(1)
-        new = np.flatnonzero(np.r_[True, ~same])
-        which = todo[number[sa]]
-        low[which] = np.repeat(np.minimum.reduceat(low[which], new), np.diff(np.r_[new, len(which)]))
-    return np.split(low, np.cumsum(counts)[:-1])
-
-
-def packed_runs(low: np.ndarray, base: int = 0) -> bytes:
-    """(first window, end, doc_id) of runs of windows with one smallest document."""
-    new = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-    return np.column_stack([new + base, np.r_[new[1:], len(low)] + base, low[new]]).astype(np.int64).tobytes()
-
-
-RESULT = "context_key binary, runs binary"
-
-
-def settled(distinct: DataFrame, buckets: int) -> DataFrame:
-    """(context_key, runs) of the distinct contexts (context_key, anchor, context, low) of anchors with few contexts."""
-
-    def group(t: pa.Table) -> pa.Table:
-        t = t.sort_by("anchor")
-        key, anchor, low, text = t["context_key"].to_pylist(), t["anchor"].to_numpy(), t["low"].to_pylist(), t["context"].to_pylist()
-        at = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-        ends = np.r_[at[1:], len(anchor)][: len(at)]
-        names, out, chunk, size = [], [], [], 0
-
-        def flush():
-            names.extend(key[i] for i in chunk)
-            out.extend(packed_runs(r) for r in settle([text[i] for i in chunk], [low[i] for i in chunk]))
-
-        for a, z in zip(at.tolist(), ends.tolist(), strict=True):
-            if z == a + 1:  # nothing to compare with
-                names.append(key[a])
-                out.append(np.array([0, len(text[a]) - LENGTH + 1, low[a]], np.int64).tobytes())
-                continue
-            chunk += range(a, z)
-            size += sum(len(text[i]) for i in range(a, z))
-            if size >= ARRAY_BYTES:
-                flush()
-                chunk, size = [], 0
-        if chunk:
-            flush()
-        return pa.table([pa.array(names, pa.binary()), pa.array(out, pa.binary())], names=["context_key", "runs"])
-
-    part = distinct.withColumn("bucket", F.pmod(F.col("anchor"), F.lit(buckets)).cast("int"))
-    return part.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(group, RESULT)
-
-
-def settled_hot(distinct: DataFrame) -> DataFrame:
-    """The same for anchors with very many contexts: windows meet by digest, with partial aggregation."""
-
-    def spread(batches):
+    def send(batches):
+        now, keys, size = None, [], 0
         for b in batches:
-            rows = []
-            for key, text, low in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                rows += [(key, i, hashlib.blake2b(text[i : i + LENGTH], digest_size=16).digest(), low) for i in range(len(text) - LENGTH + 1)]
-            c = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.binary()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.int64())], names=["context_key", "i", "window", "low"])
-
-    windows = distinct.select("context_key", "context", "low").mapInArrow(spread, "context_key binary, i int, window binary, low long")
-    least = windows.groupBy("window").agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    found = windows.join(least, "window", "left").withColumn("low", F.coalesce("least", "low"))
-
-    def group(t: pa.Table) -> pa.Table:
-        t = t.sort_by("i")
-        return pa.table([t["context_key"][:1], pa.array([packed_runs(t["low"].to_numpy())], pa.binary())], names=["context_key", "runs"])
-
-    return found.select("context_key", "i", "low").groupBy("context_key").applyInArrow(group, RESULT)
-
-
-def spans(places: DataFrame, results: DataFrame) -> DataFrame:
-    """(name, spans): the covered stretches of a text, from its places and the contexts' results."""
-
-    def work(batches):
-        for b in batches:
-            names, ids, at = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().astype(np.int64)
-            runs = [np.frombuffer(x, np.int64).reshape(-1, 3) for x in b.column(3).to_pylist()]
-            n = np.array([len(r) for r in runs], np.int64)
-            r = np.concatenate(runs) if runs else np.zeros((0, 3), np.int64)
-            keep = r[:, 2] < np.repeat(ids, n)
-            name, base = np.repeat(names, n)[keep], np.repeat(at, n)[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(base + r[keep, 0]), pa.array(base + r[keep, 1] + LENGTH - 1)], names=["name", "from", "to"])
-
-    both = places.join(results, "context_key").select("name", "id", "start", "runs").mapInArrow(work, "name long, from long, to long")
-    return both.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("spans"))  # as many as the text has anchors at most
-
-
-OUT = "name long, removed long, runs long, sha_kept string, kept string"
+            raw, off = utf8(b.column(1))
+            stretch = b.column(0).to_numpy()
+            for i, j in cuts(stretch):
+                if stretch[i] != now or size > 4 * STRETCH_BYTES:  # a stretch may send several times
+                    if size:
+                        for rows in itertools.batched(told(now, keys), 256):
+                            yield batch(SENT, rows)
+                    now, keys, size = int(stretch[i]), [], 0
+                for a, z in steps(off[i : j + 1]):
+                    text, h, *_ = anchors(raw[off[i + a] : off[i + z]], off[i + a : i + z + 1] - off[i + a])
+                    key = narrow(h, buckets)
+                    order = np.lexsort((key, text))
+                    key, text = key[order], text[order]
+                    keys.append(key[np.r_[True, (key[1:] != key[:-1]) | (text[1:] != text[:-1])][: len(key)]])  # once a text
+                    size += 8 * len(key)
+        if size:
+            for rows in itertools.batched(told(now, keys), 256):
+                yield batch(SENT, rows)
+
+    def tell(t: pa.Table) -> pa.Table:
+        own, keys, counts = np.uint64(t["bucket"][0].as_py()) << np.uint64(32), [], []
+        for x in t["blob"]:
+            x = x.as_buffer()
+            n = len(x) // 5
+            keys.append(np.frombuffer(x, np.uint32, n))
+            counts.append(np.frombuffer(x, np.uint8, n, 4 * n))
+        of = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        key, count = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+        order = np.argsort(key, kind="stable")
+        at = firsts_of(key[order])
+        total = np.empty(len(key), np.int64)
+        total[order] = np.repeat(np.add.reduceat(count[order], at), np.diff(np.r_[at, len(key)]))
+        keep = total > 1
+        key, hot, of = key[keep].astype(np.uint64) | own, total[keep] >= HOT, of[keep]
+        stretch = t["stretch"].to_pylist()
+        return tabled(TOLD, [(stretch[of[a]], key[a:z].tobytes() + hot[a:z].tobytes()) for a, z in cuts(of)])
+
+    sent = texts.select("stretch", "text").mapInArrow(send, SENT_SQL)
+    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(tell, TOLD_SQL)
+
+
+# --- contexts ----------------------------------------------------------------------------------------------------------
+def distinct_texts(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """A stretch's texts in order of name, each once; their ids, bytes and offsets."""
+    t = t.sort_by("sha")
+    names = t["sha"].to_pylist()
+    t = t.take([i for i in range(len(names)) if not i or names[i] != names[i - 1]])
+    raw, off = utf8(t["text"])
+    return t, t["id"].to_numpy(), raw, off
+
+
+def under(place: int, lo: int, hi: int, width: int):
+    """(first byte, end, bytes before the key) of the strings that an anchor's windows lo to hi - 1 are cut into, `width` windows each."""
+    for a in range(SPAN - width, -1, -width):  # bytes before the anchor, from and to
+        most, least = min(a + width - 1, place - lo), max(a, place - hi + 1)
+        if least <= most:
+            yield place - most, place - least + LENGTH, most - a
+
+
+def contexts(texts: DataFrame, known: DataFrame, key_buckets: int, buckets: int) -> DataFrame:
+    """What stretches send: contexts to buckets; to bucket -1, the places of contexts, for themselves."""
+
+    def send(_, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return tabled(SENT, [])
+        stretch = left["stretch"][0].as_py()
+        _, ids, raw, off = distinct_texts(left)
+        parts = [x.as_buffer() for x in right["blob"]]
+        key = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 9) for x in parts])
+        hot = np.concatenate([np.frombuffer(x, bool, len(x) // 9, 8 * (len(x) // 9)) for x in parts])
+        order = np.argsort(key)
+        key, hot = key[order], hot[order]
+        whole: dict[bytes, int] = {}  # number of a string with the place of its key, if it is not split, and if it is
+        split: dict[bytes, int] = {}
+        where, entry, deal = [], [], []
+        for a, z in steps(off):
+            data, base = raw[off[a] : off[z]].tobytes(), off[a:z] - off[a]
+            text, h, place, lo, hi = anchors(raw[off[a] : off[z]], off[a : z + 1] - off[a])
+            name = narrow(h, key_buckets)
+            found = np.minimum(np.searchsorted(key, name), len(key) - 1)
+            keep = np.flatnonzero(key[found] == name)
+            cold, base_of = ~hot[found[keep]], base[text[keep]]
+            for i, b, p, f, e, one in zip((text[keep] + a).tolist(), base_of.tolist(), place[keep].tolist(), lo[keep].tolist(), hi[keep].tolist(), cold.tolist(), strict=True):
+                if one:
+                    k = data[b + f : b + e + LENGTH - 1] + _ONE[p - f]
+                    n = whole.get(k)
+                    if n is None:
+                        n = whole[k] = len(deal)
+                        deal.append(zlib.crc32(data[b + p : b + p + GRAM]))
+                    where.append((i, f))
+                    entry.append(n)
+                else:
+                    for s, t, g in under(p, f, e, NINTH):
+                        k = data[b + s : b + t] + _ONE[g]
+                        n = split.get(k)
+                        if n is None:
+                            n = split[k] = len(deal)
+                            deal.append(zlib.crc32(k[g : g + LENGTH - NINTH + 1]))
+                        where.append((i, s))
+                        entry.append(n)
+        if not entry:
+            return tabled(SENT, [])
+        where, entry = np.array(where, np.int64), np.array(entry, np.int64)
+        low = np.full(len(deal), LAST)
+        np.minimum.at(low, entry, ids[where[:, 0]])
+        bucket = np.array(deal, np.uint64) * np.uint64(buckets) >> np.uint64(32)
+        places = np.empty(len(entry), PLACE)
+        places["text"], places["start"], places["number"] = where[:, 0], where[:, 1], entry
+        rows = [(-1, stretch, False, packed(places.tobytes()))]
+        for strings, wide in ((whole, True), (split, False)):
+            number, string = np.fromiter(strings.values(), np.int64, len(strings)), list(strings)
+            order = np.argsort(bucket[number], kind="stable")
+            for a, z in cuts(bucket[number[order]]):
+                o = order[a:z]
+                own = [string[i] for i in o.tolist()]
+                head = np.empty(len(own), STRING)
+                head["number"], head["size"], head["low"] = number[o], [len(s) for s in own], low[number[o]]
+                rows.append((int(bucket[number[o[0]]]), stretch, wide, packed(len(own).to_bytes(8, "little") + head.tobytes() + b"".join(own))))
+        return tabled(SENT, rows)
+
+    return texts.groupBy("stretch").cogroup(known.groupBy("stretch")).applyInArrow(send, SENT_SQL)
+
+
+_ONE = [bytes([i]) for i in range(256)]
+
+
+def settle(strings: list[bytes], low: list[int], width: int, least: list[list[int]]) -> None:
+    """Appends to least[i] the smallest doc_id of each window of strings[i], a string with the place of its key as last byte;
+    low has the smallest that has the string. Strings meet under their keys."""
+    size = LENGTH - width + 1
+    by: dict[bytes, list[int]] = {}
+    for i, s in enumerate(strings):
+        by.setdefault(s[s[-1] : s[-1] + size], []).append(i)
+    chunk, n = [], 0
+    for own in by.values():
+        if len(own) == 1:
+            i = own[0]
+            least[i] += [low[i]] * (len(strings[i]) - LENGTH)
+            continue
+        chunk.append(own)
+        n += sum(len(strings[i]) - size + 1 for i in own)
+        if n >= ARRAY:
+            grouped(strings, low, width, least, chunk)
+            chunk, n = [], 0
+    if chunk:
+        grouped(strings, low, width, least, chunk)
+
+
+def grouped(strings: list[bytes], low: list[int], width: int, least: list[list[int]], chunk: list[list[int]]) -> None:
+    """settle() for the strings of several keys by one suffix array: a symbol for the key, one for each other byte, and one of its own after each string."""
+    size, flat = LENGTH - width + 1, [i for own in chunk for i in own]
+    text = np.frombuffer(b"".join(strings[i][: strings[i][-1]] + b"\0" + strings[i][strings[i][-1] + size :] for i in flat), np.uint8).astype(np.int64) + len(flat) + len(chunk)
+    ends = np.cumsum([len(strings[i]) - size + 1 for i in flat])  # the last symbol of each is where the place of the key stood
+    begins = np.r_[0, ends[:-1]]
+    text[ends - 1] = np.arange(len(flat))
+    text[begins + [strings[i][-1] for i in flat]] = np.repeat(np.arange(len(chunk)), [len(own) for own in chunk]) + len(flat)
+    counts = ends - begins - width  # windows
+    windows = ranges(begins, counts)
+    number = np.full(len(text), -1)
+    number[windows] = np.arange(len(windows))
+    sa = suffix_array(text)
+    sa = sa[number[sa] >= 0]
+    rows = np.lib.stride_tricks.sliding_window_view(text, width)[sa]
+    new = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(1)])
+    out = np.repeat(np.array([low[i] for i in flat], np.int64), counts)
+    which = number[sa]
+    out[which] = np.repeat(np.minimum.reduceat(out[which], new), np.diff(np.r_[new, len(which)]))
+    out = out.tolist()
+    for i, a, n in zip(flat, np.r_[0, np.cumsum(counts)[:-1]].tolist(), counts.tolist(), strict=True):
+        least[i] += out[a : a + n]
+
+
+def settle_whole(strings: list[bytes], low: list[int], least: list[list[int]]) -> None:
+    """The same for whole contexts, which meet under their anchors."""
+    by: dict[bytes, list[int]] = {}
+    for i, s in enumerate(strings):
+        by.setdefault(s[s[-1] : s[-1] + GRAM], []).append(i)
+    pieces: dict[bytes, int] = {}
+    piece_low, of = [], []
+    for own in by.values():
+        if len(own) == 1:
+            i = own[0]
+            least[i] += [low[i]] * (len(strings[i]) - LENGTH)
+            continue
+        for i in own:
+            s, mine = strings[i], []
+            for a, z, g in under(s[-1], 0, len(s) - LENGTH, THIRD):
+                k = s[a:z] + _ONE[g]
+                n = pieces.get(k)
+                if n is None:
+                    n = pieces[k] = len(piece_low)
+                    piece_low.append(low[i])
+                elif low[i] < piece_low[n]:
+                    piece_low[n] = low[i]
+                mine.append(n)
+            of.append((i, mine))
+    found: list[list[int]] = [[] for _ in piece_low]
+    settle(list(pieces), piece_low, THIRD, found)
+    for i, mine in of:
+        for n in mine:
+            least[i] += found[n]
+
+
+def settled(sent: DataFrame, buckets: int) -> DataFrame:
+    """(stretch, blob): for each string that the stretch sent, runs of windows with one smallest doc_id, (number, first, end, doc_id)."""
+
+    def tell(t: pa.Table) -> pa.Table:
+        out = []
+        for wide in (True, False):
+            numbers: dict[bytes, int] = {}
+            low, asked = [], []
+            for stretch, w, blob in zip(t["stretch"].to_pylist(), t["wide"].to_pylist(), t["blob"], strict=True):
+                if w != wide:
+                    continue
+                blob = unpacked(blob.as_py())
+                n = int.from_bytes(blob[:8], "little")
+                head = np.frombuffer(blob, STRING, n, 8)
+                at, mine = 8 + STRING.itemsize * n, []
+                for size, least in zip(head["size"].tolist(), head["low"].tolist(), strict=True):
+                    s = blob[at : at + size]
+                    at += size
+                    k = numbers.get(s)
+                    if k is None:
+                        k = numbers[s] = len(low)
+                        low.append(least)
+                    elif least < low[k]:
+                        low[k] = least
+                    mine.append(k)
+                asked.append((stretch, head["number"], mine))
+            least = [[] for _ in low]
+            settle_whole(list(numbers), low, least) if wide else settle(list(numbers), low, NINTH, least)
+            runs = []
+            for x in least:
+                if x.count(x[0]) == len(x):
+                    runs.append([(0, len(x), x[0])])
+                else:
+                    at = [0, *(i for i in range(1, len(x)) if x[i] != x[i - 1]), len(x)]
+                    runs.append([(a, z, x[a]) for a, z in itertools.pairwise(at)])
+            for stretch, number, mine in asked:
+                flat = np.array([(n, *r) for n, k in zip(number.tolist(), mine, strict=True) for r in runs[k]], RUN)
+                out.append((stretch, packed(flat.tobytes())))
+        return tabled(TOLD, out)
+
+    return sent.filter("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(tell, TOLD_SQL)
+
+
+OUT = pa.schema([("sha", pa.string()), ("removed", pa.int64()), ("runs", pa.int64()), ("sha_kept", pa.string()), ("kept", pa.string())])
+OUT_SQL = "sha string, removed long, runs long, sha_kept string, kept string"
+
+
+def cut(texts: DataFrame, places: DataFrame, answers: DataFrame, with_text: bool) -> DataFrame:
+    """Rows of OUT for the texts that lose bytes."""
+
+    def work(_, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return tabled(OUT, [])
+        t, ids, raw, off = distinct_texts(left)
+        blobs = [(unpacked(x.as_py()), p) for x, p in zip(right["blob"], right["places"].to_pylist(), strict=True)]
+        own = np.concatenate([np.frombuffer(x, PLACE) for x, p in blobs if p])
+        told = np.concatenate([np.frombuffer(x, RUN) for x, p in blobs if not p])
+        told = told[np.argsort(told["number"], kind="stable")]
+        number = told["number"].copy()
+        at = np.searchsorted(number, own["number"])
+        n = np.searchsorted(number, own["number"], side="right") - at
+        run, text, start = told[ranges(at, n)], np.repeat(own["text"], n), np.repeat(own["start"].astype(np.int64), n)
+        keep = run["low"] < ids[text]
+        run, begin = run[keep], (off[text] + start)[keep]
+        edge = np.zeros(len(raw) + 1, np.int32)
+        np.add.at(edge, begin + run["first"], 1)
+        np.add.at(edge, begin + run["end"] + LENGTH - 1, -1)
+        gone = np.cumsum(edge[:-1]) > 0
+        rise = gone & ~np.r_[False, gone[:-1]]
+        rise[off[:-1]] = gone[off[:-1]]
+        total, rises = np.r_[0, np.cumsum(gone)], np.r_[0, np.cumsum(rise)]
+        removed, runs = total[off[1:]] - total[off[:-1]], rises[off[1:]] - rises[off[:-1]]
+        rows = []
+        for i in np.flatnonzero(removed).tolist():
+            kept = raw[off[i] : off[i + 1]][~gone[off[i] : off[i + 1]]].tobytes()
+            rows.append((t["sha"][i].as_py(), int(removed[i]), int(runs[i]), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
+        return tabled(OUT, rows)
 
+    told = places.select("stretch", "blob", F.lit(True).alias("places")).unionByName(answers.select("stretch", "blob", F.lit(False).alias("places")))
+    return texts.groupBy("stretch").cogroup(told.groupBy("stretch")).applyInArrow(work, OUT_SQL)
 
-def cut(docs: DataFrame, covered: DataFrame, texts: bool) -> DataFrame:
-    """Rows of OUT for the texts in covered."""
 
-    def work(batches):
-        for b in batches:
-            rows = []
-            for i, x in enumerate(texts_of(b.column(1))):
-                data, parts, removed, n, stop = x.tobytes(), [], 0, 0, -1
-                for s in b.column(2)[i].as_py():
-                    if s["from"] > stop:
-                        n += 1
-                        parts.append(data[max(stop, 0) : s["from"]])
-                    removed += max(0, s["to"] - max(stop, s["from"]))
-                    stop = max(stop, s["to"])
-                kept = b"".join(parts) + data[max(stop, 0) :]
-                rows.append((b.column(0)[i].as_py(), removed, n, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if texts else None))
-            c = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.string() if k > 2 else pa.int64()) for k, v in enumerate(c)], names=[x.split()[0] for x in OUT.split(", ")])
-
-    return docs.join(covered, ["name", "id"]).select("name", "text", "spans").mapInArrow(work, OUT).dropDuplicates(["name"])
+def text_name(text="text"):
+    """The name of a text in dedup()'s result."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
 
 
 def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
-    """(doc_id, name, n_bytes, n_removed, n_spans, kept_sha256, kept) of all rows; name is xxhash64 of the text; kept, the text without the removed bytes
+    """(doc_id, name, n_bytes, n_removed, n_spans, kept_sha256, kept) of all rows; name is text_name(); kept, the text without the removed bytes
     (less any incomplete character at a cut), is filled, where bytes were removed, if texts is set."""
     spark = docs.sparkSession
     batch_rows(spark)
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("name"))
-    own = written(rows.select("doc_id", "id", "name", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "texts")
-    firsts = written(own.groupBy("name").agg(F.min("id").alias("first"), F.first("n_bytes").alias("n_bytes")), "firsts")
-    size = firsts.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size / (GRAM / 2 + 2) * 6 // BUCKET_BYTES) + 1)
-    long_ = rows.filter(F.octet_length("text") >= LENGTH).select("name", "id", "text")
-    first = firsts.select("name", F.col("first").alias("id"))
-    known = written(shared(dealt(long_, buckets), buckets), "shared").join(first, "name")
-    found = written(contexts(long_, known, buckets), "contexts")
-    distinct = written(found.groupBy("context_key").agg(F.min("anchor").alias("anchor"), F.max("context").alias("context"), F.min("id").alias("low")), "distinct")
-    hot = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("anchor")
-    results = settled(distinct.join(hot, "anchor", "left_anti"), buckets).unionByName(settled_hot(distinct.join(hot, "anchor", "left_semi")))
-    covered = spans(found.select("name", "id", "start", "context_key"), results)
-    done = cut(long_, covered.join(first, "name"), texts)
-    base = own.join(firsts.select("name", "first"), "name").join(done, "name", "left")
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text"), text_name().alias("sha"))
+    own = written(rows.select("doc_id", "id", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "texts")
+    firsts = written(own.groupBy("sha").agg(F.min("id").alias("first"), F.first("n_bytes").alias("n_bytes")), "firsts")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = firsts.filter(F.col("n_bytes") >= LENGTH).agg(F.sum("n_bytes")).first()[0] or 0
+    stretches, key_buckets = size // STRETCH_BYTES + 1, max(partitions, size * 5 // (14 * BUCKET_BYTES) + 1)
+    once = rows.filter(F.octet_length("text") >= LENGTH).join(firsts.select("sha", F.col("first").alias("id")), ["sha", "id"]).select(F.pmod(F.xxhash64("sha"), F.lit(stretches)).alias("stretch"), "sha", "id", "text")
+    once = written(once.repartition("stretch").sortWithinPartitions("stretch"), "once")
+    known = written(shared(once, key_buckets), "shared")
+    n = known.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
+    buckets = max(partitions, n * 8 // BUCKET_BYTES + 1)
+    sent = written(contexts(once, known, key_buckets, buckets), "sent")
+    answers = written(settled(sent, buckets), "answers")
+    done = written(cut(once, sent.filter("bucket < 0"), answers, texts), "cut")
+    erase(once, known, sent, answers)
+    base = own.join(firsts.select("sha", "first"), "sha").join(done, "sha", "left")
     copy = (F.col("first") < F.col("id")) & (F.col("n_bytes") >= LENGTH)
     return base.select(
         "doc_id",
-        "name",
+        F.col("sha").alias("name"),
         "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
         F.when(copy, F.lit(1)).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),

@@ -5,31 +5,38 @@ hashes of every document are looked up; around each hit, item and document are a
 overlap (+1 for an equal word, -`PENALTY` for another) is kept if it has at least `MIN_WORDS` equal words, or nine
 tenths of a shorter item, and at least `MIN_SHARE` of its words are equal.
 
-The mask follows from that law: n equal words, three quarters of a stretch or more, have at most n / 3 others among
-them, so they stand in at most n / 3 + 1 runs, whose longest has 3 words or more once n > 6. Shorter overlaps are whole
-items. So whatever the verification accepts holds three equal words in a row, which the mask asks for.
+The masks follow from that law. They are all that hold four words in a row with at most one ignored among them. If each
+five words in a row of a stretch had two unequal ones or more, so that none of the masks fits, a stretch of 5 q + r
+words (r < 5) would have 2 q + max(0, r - 3) unequal words, and more than a quarter of it, unless it has at most eight
+words. So whatever the verification accepts of nine words or more holds a mask; a stretch of four to eight words is
+accepted as a whole item only, all of whose words are equal, and items of ten words with one replaced hold four equal
+words in a row. Items of fewer words than a mask are looked up as a whole.
 
-The benchmark is the stated query set: its index goes to the executors in blocks of at most `BLOCK_WORDS` words,
-each block one pass over the documents, so what is broadcast is bounded whatever the benchmark's size.
+The benchmark is the stated query set: its index goes to the executors in blocks of at most `BLOCK_WORDS` words, one
+after another. What a block finds is written before the next is sent, and its copies on the executors are deleted, so
+that one block is held at a time whatever the benchmark's size. Each block is a pass over the documents.
 
 Defined results: null and empty texts on either side match nothing; an item of fewer than ten words is found where
-all of its words are, so one of a single common word lies in many documents; equal items are reported each; a repeated document is reported each time; rows are distinct places (the same item may lie in a document
-twice); empty tables give an empty result; extra columns are ignored.
+all of its words are, so one of a single common word lies in many documents; equal items are reported each; a repeated
+document is reported each time; rows are distinct places (the same item may lie in a document twice); empty tables give
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import STEP_BYTES, batch_rows, ranges, steps, table, utf8
+from ._common import STEP_BYTES, batch_rows, ranges, steps, table, utf8, written
 from ._words import ALNUM, grams, words
 
-#: Fixed masks. With other limits below they are to be derived anew.
-MASKS = ("111",)
-SPAN = len(MASKS[0])
+#: Fixed masks; 0 ignores a word. With other limits below they are to be derived anew.
+MASKS = ("1111", "10111", "11011", "11101")
+LEAST = min(map(len, MASKS))
 MIN_WORDS, MIN_SHARE, PENALTY = 11, 0.75, 2
 BLOCK_WORDS = 200_000
 #: Hits, or words compared, that one vectorised step handles at a time.
@@ -59,7 +66,7 @@ def index(items: list[tuple]) -> dict | None:
     w, w_off = words(raw, off, ALNUM)
     seeds = {}
     sizes = np.diff(w_off)
-    short = [tuple(range(n)) for n in range(1, SPAN) if (sizes == n).any()]
+    short = [tuple(range(n)) for n in range(1, LEAST) if (sizes == n).any()]
     for offs in [*map(_offsets, MASKS), *short]:
         h, at = windows(w, w_off, offs)
         if offs in short:  # the whole item, and nothing of longer items
@@ -154,36 +161,50 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     batch_rows(spark)
     ids = docs.select("doc_id", "text")
-    whole = spark.createDataFrame([], OUT)
-    for idx in blocks(benchmark):
-        held = spark.sparkContext.broadcast(idx)
 
-        def work(batches, held=held):
+    def step(_, held):
+        def work(batches):
             for b in batches:
                 for a, rows in found(b.column(1), held.value):
                     text, item, *rest = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column(0)[a:].take(pa.array(text)), pa.array([held.value["ids"][i] for i in item], pa.int64()), *(pa.array(r, pa.int64()) for r in rest)], names=[x.split()[0] for x in OUT.split(", ")])
 
-        whole = whole.unionByName(ids.mapInArrow(work, OUT))
-    return whole
+        return ids.mapInArrow(work, OUT)
+
+    done = by_block(spark, benchmark, step)
+    return functools.reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], OUT)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without any overlap."""
     spark, at = docs.sparkSession, docs.columns.index("text")
     batch_rows(spark)
-    for idx in blocks(benchmark):
-        held = spark.sparkContext.broadcast(idx)
 
-        def work(batches, held=held):
+    def step(before, held):
+        def work(batches):
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
                 for a, rows in found(b.column(at), held.value):
                     keep[[a + r[0] for r in rows]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(work, docs.schema)
-    return docs
+        left = before[-1] if before else docs
+        return left.mapInArrow(work, docs.schema)
+
+    done = by_block(spark, benchmark, step)
+    return done[-1] if done else docs
+
+
+def by_block(spark: SparkSession, benchmark: DataFrame, step) -> list[DataFrame]:
+    """step(results so far, broadcast index) for each block; all results but the last are written, and their blocks given up."""
+    done, held = [], None
+    for idx in blocks(benchmark):
+        if held is not None:
+            done[-1] = written(done[-1], "block")
+            held.destroy()
+        held = spark.sparkContext.broadcast(idx)
+        done.append(step(done, held))
+    return done
 
 
 def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:

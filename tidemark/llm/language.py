@@ -3,10 +3,13 @@
 A text is a normalised TF-IDF vector over hashed byte n-grams (one to three bytes of the lower-cased text's words, `DIMS`
 buckets). The vectors of each language's training texts are clustered by spherical k-means; a text gets the language
 of the centroid with the greatest cosine. A text that is farther from that centroid than `REJECT` times the reach
-of the training texts assigned to it, or that has no letter, is rejected.
+of the training texts assigned to it, or that has no letter, is rejected. A centroid's reach is the cosine that all but
+a twentieth of its texts have; centroids of less than a fiftieth of a language's texts, i.e. its outliers, are dropped
+unless the language has no other. Texts of fewer than `SURE_BYTES` bytes have few n-grams and so lower cosines with any
+centroid; what is asked of them is less in proportion to the square root of their bytes.
 
-The classifier is fitted on a bounded sample of about `SAMPLE_DOCS` labelled texts, dealt evenly over the languages
-by a hash of the id; idf and centroids come from that sample, so that what reaches the driver is bounded.
+The classifier is fitted on a bounded sample of about `SAMPLE_DOCS` distinct labelled texts, dealt evenly over the
+languages by a hash of the text; idf and centroids come from that sample, so that what reaches the driver is bounded.
 
 Defined results: null text, empty text and text without a letter are `und` with score 0 and rejected; null labels
 are not learned; with no labelled row at all every text is `und`; a null id is in the training fold; repeated rows
@@ -27,6 +30,7 @@ DIMS = 4096
 SAMPLE_DOCS = 2000
 CENTROIDS = 4
 REJECT = 0.3
+SURE_BYTES = 400
 #: Texts a dense step handles at a time.
 STEP_DOCS = 128
 LETTER = regex.compile(r"\p{L}")
@@ -85,7 +89,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, centroids: int = CENTRO
     share = F.lit(0.0)
     for lang, n in sorted(per.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_docs / len(per) / n))).otherwise(share)
-    part = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 20)) < share * (1 << 20))
+    part = rows.filter(F.pmod(F.xxhash64("text", F.lit(6)), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text").distinct()
 
     def vec(batches):
         for b in batches:
@@ -93,7 +97,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, centroids: int = CENTRO
                 c = counts([t.lower() for t in b.column(1)[a : a + STEP_DOCS].to_pylist()])
                 yield pa.RecordBatch.from_arrays([b.column(0)[a : a + STEP_DOCS], pa.array([x.tobytes() for x in c], pa.binary())], names=["lang", "c"])
 
-    got = part.select("lang", "text").mapInArrow(vec, "lang string, c binary").orderBy("lang", F.xxhash64("c")).toArrow()
+    got = part.mapInArrow(vec, "lang string, c binary").toArrow().sort_by([("lang", "ascending"), ("c", "ascending")])
     langs = np.array(got["lang"].to_pylist())
     if not len(langs):
         return None
@@ -106,11 +110,11 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, centroids: int = CENTRO
         c = clustered(own, centroids)
         cos = own @ c.T
         near = np.argmax(cos, axis=1)
-        for j in range(len(c)):
-            if (near == j).any():
-                cents.append(c[j])
-                names.append(str(lang))
-                least.append(REJECT * float(cos[near == j, j].min()))
+        size = np.bincount(near, minlength=len(c))
+        for j in np.flatnonzero(size >= min(size.max(), max(2, len(own) / 50))):
+            cents.append(c[j])
+            names.append(str(lang))
+            least.append(REJECT * float(np.quantile(cos[near == j, j], 0.05)))
     return {"idf": idf, "centroids": np.array(cents, np.float32), "names": names, "least": np.array(least)}
 
 
@@ -125,7 +129,8 @@ def judged(texts: list, m: dict | None) -> tuple[list[str], np.ndarray, np.ndarr
         top = cos[np.arange(len(at)), best]
         for i, j in zip(at, best, strict=True):
             names[i] = m["names"][j]
-        score[at], reject[at] = np.clip(top, 0, 1), top < m["least"][best]
+        share = np.sqrt(np.minimum(1, np.array([len(low[i].encode()) for i in at]) / SURE_BYTES))
+        score[at], reject[at] = np.clip(top, 0, 1), top < m["least"][best] * share
     return names, score, reject
 
 

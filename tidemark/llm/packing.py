@@ -132,8 +132,11 @@ def patterns(histogram: dict[int, int], max_len: int) -> list[tuple[int, tuple[t
             while most > 0 and not room[most]:
                 most -= 1
             if most < length or not room[most]:
-                room[max_len - length].append([left, ((length, 1),)])
-                most, left = max(most, max_len - length), 0
+                # a new pack is the shortest until no more of this length fits
+                times = min(left, max_len // length)
+                count = left // times
+                room[max_len - times * length].append([count, ((length, times),)])
+                most, left = max(most, max_len - times * length), left - count * times
                 continue
             pack = room[most][-1]
             times = min(most // length, -(-left // pack[0]))  # how many of this length the shortest packs take in a row

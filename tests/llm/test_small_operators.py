@@ -84,6 +84,47 @@ def test_language(spark, hard, none):
     assert kept.columns == hard.columns and kept.filter("text is null or trim(text) = ''").count() == 0
 
 
+def test_language_against_plain_cosines(spark):
+    """Scores and languages of a table against cosines taken one by one, and clean documents, short ones too, against rejection."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    m = language.fit(docs)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in language.identify(docs, m).collect():
+        t = (texts[r["doc_id"]] or "").lower()
+        if not any(c.isalpha() for c in t):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0, True)
+            continue
+        v = [np.log1p(float(x)) * float(w) for x, w in zip(language.counts([t])[0], m["idf"], strict=True)]
+        cos = [float(np.dot(v, c)) / (np.linalg.norm(v) or 1) for c in m["centroids"]]
+        assert abs(max(cos) - r["score"]) < 1e-4 and max(cos) - cos[m["names"].index(r["lang_pred"])] >= -1e-6
+        assert max(c for c, n in zip(cos, m["names"], strict=True) if n == r["lang_pred"]) > max(cos) - 1e-5 and not r["rejected"]
+    assert not language.judged(["This.", "Avec.", "A. All rights reserved.", "und die"], m)[2].any()
+
+
+def test_quality_against_plain_densities(spark):
+    """Scores against class densities by numpy's inverse and determinant, from the labelled rows of the training fold."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    x = quality.measured(docs)
+    rows = {r["doc_id"]: np.frombuffer(r["x"]) for r in x.collect()}
+    learn = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] in (0, 1) and r["doc_id"] in rows and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    own = [np.array([rows[i] for i, q in learn.items() if q == c]) for c in (0, 1)]
+    within = sum(np.cov(v.T, bias=True) * len(v) for v in own) / len(learn)
+    means = np.array([v.mean(0) for v in own])
+    scale = np.sqrt(np.diag(within) + means.var(0) + 1e-9)
+    log = {}
+    for c in (0, 1):
+        s = (1 - quality.SHRINK_POOLED) * np.cov((own[c] / scale).T, bias=True) + quality.SHRINK_POOLED * within / np.outer(scale, scale)
+        s = (1 - quality.SHRINK_IDENTITY) * s + quality.SHRINK_IDENTITY * max(np.trace(s) / len(s), 1e-3) * np.eye(len(s))
+        inverse, logdet = np.linalg.inv(s), np.linalg.slogdet(s)[1]
+        for i, v in rows.items():
+            d = v / scale - means[c] / scale
+            log[i, c] = -0.5 * d @ inverse @ d - 0.5 * logdet
+    for r in quality.scored(x, quality.fit(x, labels)).collect():
+        i = r["doc_id"]
+        want = 1 / (1 + np.exp(-np.clip((log[i, 1] - log[i, 0]) / len(scale), -500, 500)))
+        assert abs(want - r["score"]) < 1e-6 and r["predicted"] == (r["score"] >= 0.5)
+
+
 # --- 4 ---------------------------------------------------------------------------------------------------------------
 def test_decontamination_tolerates_substitutions_and_spares_clean_texts(spark, hard):
     r = random.Random(0)
@@ -106,6 +147,8 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     once = sorted(map(tuple, decontam.contaminated(docs, bench).collect()))
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 300)
     assert once and sorted(map(tuple, decontam.contaminated(docs, bench).collect())) == once
+    left = {r["doc_id"] for r in decontam.clean(docs, bench).collect()}
+    assert left == {r["doc_id"] for r in docs.collect()} - {r[0] for r in once}
 
 
 def test_masks_find_every_item_that_is_planted_whole():
@@ -117,6 +160,42 @@ def test_masks_find_every_item_that_is_planted_whole():
     assert {(a, b) for a, b, *_ in decontam.overlaps(w, w_off, idx)} == {(i, i) for i in range(20)}
 
 
+def test_overlaps_against_brute_force(spark):
+    """Every document of a table against every item at every shift, by words as a regular expression finds them."""
+    import re
+
+    find = lambda t: re.findall(r"[0-9a-z\u0080-\U0010ffff]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+    number = {}
+    coded = lambda t: np.array([number.setdefault(x, len(number)) for x in find(t)], np.int64)
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    items = [(r["item_id"], coded(r["text"])) for r in bench.collect()]
+    want = set()
+    for r in docs.collect():
+        w = coded(r["text"])
+        for item, v in items:
+            places = {}
+            for i, x in enumerate(v.tolist()):
+                places.setdefault(x, []).append(i)
+            hits = [k - i for k, x in enumerate(w.tolist()) for i in places.get(x, ())]
+            shifts, n = np.unique(hits, return_counts=True)
+            for shift in shifts[n >= min(decontam.MIN_WORDS, 0.9 * len(v))].tolist():
+                a, z = max(0, -shift), min(len(v), len(w) - shift)
+                equal = v[a:z] == w[a + shift : z + shift]
+                f, t = decontam.best(equal)
+                k = int(equal[f:t].sum())
+                if k >= min(decontam.MIN_WORDS, 0.9 * len(v)) and k >= decontam.MIN_SHARE * (t - f):
+                    want.add((r["doc_id"], item, a + f + shift, a + t + shift, a + f, k))
+    assert want and {tuple(r) for r in decontam.contaminated(docs, bench).collect()} == want
+
+
+def test_decontamination_on_hard_and_empty_tables(spark, hard, none):
+    bench = spark.createDataFrame([(1, "a b c d e"), (None, "word word word word word"), (3, None), (4, "the cat sat on the mat the cat sat on the mat")], "item_id long, text string")
+    got = decontam.contaminated(hard, bench).select("doc_id", "item_id").distinct().collect()
+    assert {tuple(r) for r in got} == {(4, 1), (5, 1), (6, 1), (None, 1), (7, None), (11, 4)}
+    assert decontam.contaminated(none, bench).count() == decontam.clean(none, bench).count() == decontam.contaminated(hard, bench.limit(0)).count() == 0
+    assert decontam.clean(hard, bench.limit(0)).count() == hard.count()
+
+
 @pytest.mark.parametrize("n", range(1, 19))
 def test_every_acceptable_pattern_of_replaced_words_is_found(n):
     idx = decontam.index([(0, " ".join(f"word{i}" for i in range(n)))])
@@ -217,6 +296,21 @@ def test_patterns_use_every_length_once():
         assert total == h
 
 
+def test_patterns_are_those_of_placing_lengths_one_by_one():
+    r = np.random.default_rng(2)
+    for most in (5, 16, 64, 300):
+        for _ in range(8):
+            h = {int(n): int(c) for n, c in zip(range(1, most + 1), r.integers(0, r.choice([2, 5, 40]), most), strict=True)}
+            packs = []
+            for n in sorted((n for n, c in h.items() for _ in range(c)), reverse=True):
+                k = min(range(len(packs)), key=packs.__getitem__, default=None)
+                if k is None or packs[k] + n > most:
+                    packs.append(n)
+                else:
+                    packs[k] += n
+            assert sorted(packs) == sorted(sum(a * b for a, b in p) for c, p in packing.patterns(h, most) for _ in range(c))
+
+
 # --- 9 ---------------------------------------------------------------------------------------------------------------
 def test_page_checksum_is_the_containers():
     def slow(data):
@@ -249,6 +343,25 @@ def test_ogg_round_trip_and_checks(spark, hard, none):
     assert media.media_features(none).count() == 0
 
 
+def test_media_columns_of_a_table(spark):
+    """All columns against hashlib and zlib, the stored form read back anew, and equal values of equal texts."""
+    import hashlib
+
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    seen = {}
+    rows = media.op9_ogg_columns(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        t = texts[r["doc_id"]]
+        payload = t + b"\0" * (-len(t) % 64 if t else 64)
+        stored = media.store(payload)
+        assert media.load(stored)[0] == payload
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(t), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        value = tuple(r[c] for c in rows[0].__fields__ if c != "doc_id")
+        assert seen.setdefault(t, value) == value
+
+
 # --- 10 --------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("n", [1, 2, 3, 40, 1000, 4097])
 def test_permutation_is_a_bijection(n):
@@ -263,5 +376,11 @@ def test_sharding(spark, hard, none):
         by.setdefault(r["shard"], []).append(r["slot"])
     assert len(rows) == hard.count() and all(sorted(s) == list(range(len(s))) for s in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert sharding.shard(none, "doc_id", 5).count() == 0
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    held = sharding.op10_feistel_sharding(spark, SF).collect()
+    assert {(r["doc_id"], r["size"], r["text_crc32"], r["law"], r["grown_shard"]) for r in held} == {(i, len(t) + 16, zlib.crc32(t), "rows", None) for i, t in docs.items()}
+    for n, i in enumerate(sorted(docs)):  # the place of any row can be computed by itself
+        p = int(sharding.permute(np.array([n]), len(docs))[0])
+        assert [(r["shard"], r["slot"]) for r in held if r["doc_id"] == i] == [(p % 40, p // 40)]
     a, b = (sorted(map(tuple, sharding.op10_feistel_sharding(spark, SF).drop("grown_shard").collect())) for _ in range(2))
     assert a == b

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans import dag, pairs, reports, reports_more, signals  # noqa: F401  the modules define the views
+from .. import store
+from ..plans import constants, dag, geometry, pairs, reports, reports_more, signals, summaries  # noqa: F401  the modules define the views
 from ..sources import readers
 from ..streaming import analyzer
 from . import graph, interp, regimes, windows
@@ -18,17 +19,17 @@ def signal_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.signal_vector(dag.run(spark, sf_dir, "obs"))
 
 
-def cohort_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cohort_eigen(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = windows.signal_vector(dag.run(spark, sf_dir, "obs"), names=GEOMETRY_ENGINES)
     return windows.cohort_geometry(v, GEOMETRY)
 
 
 def geometry_dynamics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.geometry_dynamics(cohort_geometry(spark, sf_dir))
+    return windows.geometry_dynamics(cohort_eigen(spark, sf_dir))
 
 
 def brittleness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.ranked(cohort_geometry(spark, sf_dir))
+    return windows.ranked(cohort_eigen(spark, sf_dir))
 
 
 def ftle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,12 +45,9 @@ def rolling_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coupling_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = dag.run(spark, sf_dir, "v_coupling_network").filter("weight > 0.05")
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
-    return graph.components(e.select(F.concat_ws("/", "cohort", "signal_a").alias("a"), F.concat_ws("/", "cohort", "signal_b").alias("b")))
+    e = dag.run(spark, sf_dir, "v_coupling_network").filter("abs_weight > 0.3")
+    store.shared_dir(spark)
+    return graph.components(e.select(F.concat_ws("/", "cohort", "source").alias("a"), F.concat_ws("/", "cohort", "target").alias("b")))
 
 
 def operating_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,5 +108,5 @@ with w as ({dag.text('obs_lines_wide', 'duckdb')})
 select cohort, s0, 'l_quantity' as signal_id, l_quantity as value from w union all select cohort, s0, 'l_extendedprice', l_extendedprice from w
 union all select cohort, s0, 'l_discount', l_discount from w union all select cohort, s0, 'l_tax', l_tax from w"""
 
-QUERIES = {f.__name__: f for f in (signal_vector, cohort_geometry, geometry_dynamics, brittleness, ftle, granger, rolling_spearman, coupling_components, operating_regimes, regime_zscores, asof_purchase, hourly_windows, user_sessions, lines_unpivoted)}
+QUERIES = {f.__name__: f for f in (signal_vector, cohort_eigen, geometry_dynamics, brittleness, ftle, granger, rolling_spearman, coupling_components, operating_regimes, regime_zscores, asof_purchase, hourly_windows, user_sessions, lines_unpivoted)}
 ORACLE = {"regime_zscores": ZSCORES_SQL, "asof_purchase": ASOF_SQL, "hourly_windows": HOURLY_SQL, "user_sessions": SESSIONS_SQL, "lines_unpivoted": UNPIVOT_SQL}

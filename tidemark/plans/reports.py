@@ -2,33 +2,61 @@
 
 from __future__ import annotations
 
-from .dag import corr, div, quantile, r, view
+from .dag import corr, div, first_of, quantile, r, rank, share, view
 
 K = "partition by cohort, signal_id"
 
 # --- baseline deviation ------------------------------------------------------------------------------------------
-view("v_baseline_windows", "select cohort, min(s0) as s0_min, max(s0) as s0_max, min(s0) + 0.1 * (max(s0) - min(s0)) as baseline_end from @obs group by cohort")
+_METRICS = "energy_proxy energy_velocity dissipation_rate coherence coherence_velocity effective_dim eigenvalue_entropy state_distance state_velocity state_acceleration".split()
+_SCORED = "energy_proxy coherence state_distance effective_dim".split()
+view("v_baseline_windows", """
+-- the first tenth of a cohort's windows, as places of the axis, and a hundred places at least
+select cohort, min(signal_0_center) as i_min, max(signal_0_center) as i_max, count(*) as n_total, greatest(cast(floor(count(*) * 0.10) as bigint), 100) as n_baseline, min(signal_0_center) + greatest(cast(floor(count(*) * 0.10) as bigint), 100) as baseline_end_i from @physics group by cohort""")
 view("baselines", f"""
-select o.cohort, o.signal_id, count(*) as n_baseline, {r('avg(o.value)')} as mean, {r('stddev_samp(o.value)')} as std, {r(quantile(0.05, 'o.value'))} as p05, {r(quantile(0.95, 'o.value'))} as p95
-from @obs o join @v_baseline_windows w on o.cohort = w.cohort where o.s0 <= w.baseline_end group by o.cohort, o.signal_id""")
+select p.cohort, {', '.join(f"{r(f'avg(p.{m})')} as {m}_mean, {r(quantile(0.05, f'p.{m}'))} as {m}_p05, {r(quantile(0.95, f'p.{m}'))} as {m}_p95" for m in _METRICS)}, count(*) as n_baseline_points, min(p.signal_0_center) as baseline_start, max(p.signal_0_center) as baseline_end
+from @physics p join @v_baseline_windows w on p.cohort = w.cohort where p.signal_0_center <= w.baseline_end_i group by p.cohort""")
+_over = lambda m: div(f'greatest(p.{m} - b.{m}_p95, b.{m}_p05 - p.{m}, 0)', f'b.{m}_p95 - b.{m}_p05')
 view("v_deviation_scores", f"""
-select o.cohort, o.signal_id, o.s0, o.value, case when o.value < b.p05 then 'low' when o.value > b.p95 then 'high' else 'in' end as side, {r(div('greatest(b.p05 - o.value, o.value - b.p95, 0)', 'b.p95 - b.p05'))} as exceedance, o.s0 <= w.baseline_end as in_baseline
-from @obs o join @baselines b on o.cohort = b.cohort and o.signal_id = b.signal_id join @v_baseline_windows w on o.cohort = w.cohort""")
+select *, {share('deviation_score')} as deviation_pctile from (
+  select *, greatest({', '.join(f'coalesce({m}_exceedance, 0)' for m in _SCORED)}) as deviation_score from (
+    select p.cohort, p.signal_0_center, {', '.join(f"{r(div(f'p.{m}', f'b.{m}_mean'), 4)} as {m}_ratio" for m in ('energy_proxy', 'dissipation_rate', 'state_distance'))}, {', '.join(f"{r(f'p.{m} - b.{m}_mean')} as {m}_shift" for m in ('energy_velocity', 'coherence', 'coherence_velocity', 'effective_dim', 'eigenvalue_entropy', 'state_velocity', 'state_acceleration'))},
+           {', '.join(f"{r(_over(m), 4)} as {m}_exceedance" for m in _SCORED)}, {', '.join(f"p.{m} < b.{m}_p05 or p.{m} > b.{m}_p95 as flag_{m}" for m in _METRICS)}, p.energy_proxy, p.coherence, p.state_distance, p.signal_0_center <= b.baseline_end as in_baseline
+    from @physics p join @baselines b on p.cohort = b.cohort) x) y""")
+_few = " + ".join(f"case when flag_{m} then 1 else 0 end" for m in ("energy_proxy", "coherence", "state_distance"))
 view("v_deviation_flags", f"""
-select cohort, s0, count(*) filter (where side <> 'in') as n_flags, {r('max(exceedance)')} as deviation_score,
-       case when count(*) filter (where side <> 'in') >= 3 then 'critical' when count(*) filter (where side <> 'in') = 2 then 'warning' when count(*) filter (where side <> 'in') = 1 then 'watch' else 'normal' end as severity
-from @v_deviation_scores group by cohort, s0""")
-view("v_deviation_events", """
-select cohort, s0, severity, previous, case when previous is null or (previous = 'normal' and severity <> 'normal') then 'onset' when severity = 'normal' then 'return' when severity = 'critical' and previous <> 'critical' then 'escalation' else 'change' end as event
-from (select cohort, s0, severity, lag(severity) over (partition by cohort order by s0) as previous from @v_deviation_flags) x where previous is null or previous <> severity""")
+select cohort, signal_0_center, in_baseline, {', '.join(f'flag_{m}' for m in _METRICS)}, {' + '.join(f'case when flag_{m} then 1 else 0 end' for m in _METRICS)} as n_deviating_metrics, deviation_score, deviation_pctile,
+       {first_of(*((f'coalesce({m}_exceedance, 0) = deviation_score', m) for m in _SCORED), other='unknown')} as max_deviation_metric, {first_of((f'deviation_pctile > 0.99 or {_few} >= 3', 'critical'), (f'deviation_pctile > 0.95 or {_few} >= 1', 'warning'), other='normal')} as severity,
+       energy_proxy_ratio, coherence_shift, state_distance_ratio, effective_dim_shift from @v_deviation_scores""")
+view("v_deviation_events", f"""
+select * from (select cohort, signal_0_center as event_time, severity, n_deviating_metrics, max_deviation_metric, deviation_score, before as prev_severity,
+       case when before = 'normal' and severity <> 'normal' then 'deviation_onset' when before <> 'normal' and severity = 'normal' then 'return_to_normal' when before = 'warning' and severity = 'critical' then 'escalation' when before = 'critical' and severity = 'warning' then 'de_escalation' end as event_type
+from (select *, lag(severity) over (partition by cohort order by signal_0_center) as before from @v_deviation_flags where not in_baseline) x) y where event_type is not null""")
 view("v_deviation_entity_summary", f"""
-select cohort, count(*) as n_places, count(*) filter (where severity = 'critical') as n_critical, count(*) filter (where severity = 'warning') as n_warning, {r('avg(deviation_score)', 9)} as mean_score, max(deviation_score) as max_score,
-       {r('1.0 * count(*) filter (where severity in (' + chr(39) + 'normal' + chr(39) + ', ' + chr(39) + 'watch' + chr(39) + ')) / count(*)')} as health from @v_deviation_flags group by cohort""")
-view("v_deviation_fleet_summary", f"select count(*) as n_cohorts, sum(n_critical) as n_critical, {r('avg(health)', 9)} as mean_health, {r('min(health)')} as worst_health from @v_deviation_entity_summary")
+select cohort, n_baseline_points, n_monitored_points, n_warning, n_critical, n_normal, {r(div('100.0 * (n_warning + n_critical)', 'n_monitored_points'), 4)} as pct_abnormal, current_severity, max_simultaneous_deviations, max_deviation_score, most_common_deviation_source,
+       {first_of(('n_baseline_points < 20', 'insufficient_baseline'), ('n_critical > n_monitored_points * 0.1', 'departed'), ('n_warning + n_critical > n_monitored_points * 0.2', 'unstable'), ('n_warning + n_critical > n_monitored_points * 0.05', 'noisy'), other='stable')} as departure_assessment
+from (select f.cohort, max(b.n_baseline_points) as n_baseline_points, count(*) filter (where not f.in_baseline) as n_monitored_points, {', '.join(f"count(*) filter (where not f.in_baseline and f.severity = '{v}') as n_{v}" for v in ('warning', 'critical', 'normal'))},
+             max(case when f.last_one = 1 then f.severity end) as current_severity, max(f.n_deviating_metrics) as max_simultaneous_deviations, max(f.deviation_score) as max_deviation_score, max(m.metric) as most_common_deviation_source
+      from (select *, row_number() over (partition by cohort order by signal_0_center desc) as last_one from @v_deviation_flags) f join @baselines b on f.cohort = b.cohort left join @common_sources m on f.cohort = m.cohort group by f.cohort) x""")
+view("common_sources", """
+-- the most frequent of each cohort; of equally frequent ones the first by name
+select cohort, max_deviation_metric as metric from (select cohort, max_deviation_metric, row_number() over (partition by cohort order by count(*) desc, max_deviation_metric) as k from @v_deviation_flags where severity <> 'normal' group by cohort, max_deviation_metric) x where k = 1""")
+view("v_deviation_fleet_summary", f"""
+select count(*) as n_entities, {', '.join(f"count(*) filter (where departure_assessment = '{v}') as n_{v}" for v in ('stable', 'noisy', 'unstable', 'departed'))}, {', '.join(f"count(*) filter (where current_severity = '{v}') as n_currently_{v}" for v in ('normal', 'warning', 'critical'))},
+       {r("100.0 * count(*) filter (where departure_assessment = 'stable') / nullif(count(*), 0)", 4)} as pct_stable, {r('avg(pct_abnormal)', 4)} as avg_pct_abnormal, max(fleet) as fleet_common_deviation_source
+from @v_deviation_entity_summary cross join (select max(metric) as fleet from (select metric, row_number() over (order by count(*) desc, metric) as k from @common_sources group by metric) x where k = 1) y""")
+_pct = lambda c: r(f"100.0 * count(*) filter (where {c}) / count(*)", 4)
 view("v_sensitivity_analysis", f"""
-select cohort, {r('avg(case when p > 0.90 then 1.0 else 0.0 end)')} as at_p90, {r('avg(case when p > 0.95 then 1.0 else 0.0 end)')} as at_p95, {r('avg(case when p > 0.99 then 1.0 else 0.0 end)')} as at_p99
-from (select cohort, percent_rank() over (order by deviation_score) as p from @v_deviation_flags) x group by cohort""")
-view("baseline_deviation", "select s.cohort, s.signal_id, s.s0, s.value, s.side, s.exceedance from @v_deviation_scores s where not s.in_baseline")
+select cohort, {_pct('deviation_pctile > 0.90')} as pct_flagged_p90, {_pct('deviation_pctile > 0.95')} as pct_flagged_p95, {_pct('deviation_pctile > 0.99')} as pct_flagged_p99, {_pct('n_deviating_metrics >= 1')} as pct_any_metric_oor, {_pct('n_deviating_metrics >= 3')} as pct_3plus_metrics_oor,
+       {first_of((f"{_pct('n_deviating_metrics >= 1')} > 50", 'High OOR rate: tighten baseline or increase min_deviations'), (f"{_pct('n_deviating_metrics >= 1')} < 1", 'Very low OOR rate: may be missing deviations'), other='Detection rate within expected range')} as recommendation
+from @v_deviation_flags where not in_baseline group by cohort""")
+view("baseline_deviation", "select cohort, signal_0_center, deviation_score, deviation_pctile, n_deviating_metrics, max_deviation_metric, severity, energy_proxy_ratio, coherence_shift, state_distance_ratio, effective_dim_shift, in_baseline from @v_deviation_flags where not in_baseline")
+# the same by signal, over observations
+view("signal_baselines", f"""
+select o.cohort, o.signal_id, count(*) as n_baseline, {r('avg(o.value)')} as mean, {r('stddev_samp(o.value)')} as std, {r(quantile(0.05, 'o.value'))} as p05, {r(quantile(0.95, 'o.value'))} as p95
+from @obs o join (select cohort, min(s0) + 0.1 * (max(s0) - min(s0)) as stop from @obs group by cohort) w on o.cohort = w.cohort where o.s0 <= w.stop group by o.cohort, o.signal_id""")
+view("signal_deviations", f"""
+select o.cohort, o.signal_id, o.s0, o.value, {first_of(('o.value < b.p05', 'low'), ('o.value > b.p95', 'high'), other='in')} as side, {r(div('greatest(b.p05 - o.value, o.value - b.p95, 0)', 'b.p95 - b.p05'))} as exceedance, o.s0 <= w.stop as in_baseline
+from @obs o join @signal_baselines b on o.cohort = b.cohort and o.signal_id = b.signal_id join (select cohort, min(s0) + 0.1 * (max(s0) - min(s0)) as stop from @obs group by cohort) w on o.cohort = w.cohort""")
 
 # --- drift -------------------------------------------------------------------------------------------------------
 view("drift_segments", f"""
@@ -39,72 +67,41 @@ view("drift_report", f"""
 select d.cohort, d.signal_id, d.early_mean, d.late_mean, d.mean_delta, d.effect_size, t.slope, t.r2, case when abs(d.effect_size) > 0.8 then 'strong' when abs(d.effect_size) > 0.2 then 'mild' else 'none' end as drift,
        {r('repeat_len')} as bar_length
 from (select cohort, signal_id, early_mean, late_mean, mean_delta, effect_size, least(20, round(20 * abs(effect_size), 0)) as repeat_len from @drift_segments) d join @signal_trend t on d.cohort = t.cohort and d.signal_id = t.signal_id""")
-view("v_segment_comparison", """
-select a.signal_id, count(*) as n_cohorts, count(*) filter (where a.mean_delta > 0) as n_rising, count(*) filter (where a.mean_delta < 0) as n_falling from @drift_segments a group by a.signal_id""")
 view("outlier_report", f"""
 select o.cohort, o.signal_id, count(*) as n, count(*) filter (where o.value < s.q1 - 1.5 * (s.q3 - s.q1) or o.value > s.q3 + 1.5 * (s.q3 - s.q1)) as n_iqr, count(*) filter (where abs(o.value - s.mean) > 3 * s.std) as n_z3
 from @obs o join @signal_statistics s on o.cohort = s.cohort and o.signal_id = s.signal_id group by o.cohort, o.signal_id""")
 view("periodicity_report", f"""
 select cohort, signal_id, n_peaks, {r('mean_gap')} as mean_gap, {r(div('std_gap', 'mean_gap'))} as gap_cv, case when {div('std_gap', 'mean_gap')} < 0.3 then 'regular' else 'irregular' end as rhythm
-from (select cohort, signal_id, count(*) as n_peaks, avg(gap) as mean_gap, stddev_samp(gap) as std_gap from (select cohort, signal_id, s0 - lag(s0) over ({K} order by s0) as gap from @v_local_extrema where extremum = 'peak') x group by cohort, signal_id) y""")
+from (select cohort, signal_id, count(*) as n_peaks, avg(gap) as mean_gap, stddev_samp(gap) as std_gap from (select cohort, signal_id, s0 - lag(s0) over ({K} order by s0) as gap from @v_local_extrema where extrema_type = 'peak') x group by cohort, signal_id) y""")
 view("correlation_changes", f"""
 select cohort, signal_a, signal_b, {r('avg(correlation) filter (where tile < half)', 9)} as early, {r('avg(correlation) filter (where tile >= half)', 9)} as late, {r('avg(correlation) filter (where tile >= half) - avg(correlation) filter (where tile < half)', 9)} as change
 from (select cohort, signal_a, signal_b, tile, correlation, max(tile) over (partition by cohort) / 2.0 as half from @pairwise_windowed) x group by cohort, signal_a, signal_b""")
 
 # --- rankings, canaries, trajectories ----------------------------------------------------------------------------
 view("v_signal_trajectory", f"""
-select cohort, signal_id, s0, {r('recent - earlier')} as departure, {r('life')} as life from (
-  select cohort, signal_id, s0, avg(value) over ({K} order by s0 rows between 3 preceding and current row) as recent, avg(value) over ({K} order by s0 rows between 7 preceding and 4 preceding) as earlier,
-         {div(f's0 - min(s0) over ({K})', f'max(s0) over ({K}) - min(s0) over ({K})')} as life from @obs) x where earlier is not null""")
+-- the mean of the last four places less that of the four before; its departure from what the first fifth of the cohort's life has, after that fifth
+select cohort, signal_id, s0, {r('delta')} as trajectory_delta, {r('base')} as baseline_slope, {r('abs(delta - base)')} as slope_departure_abs, {share('abs(delta - base)', 'cohort, signal_id')} as slope_departure_pctile
+from (select d.cohort, d.signal_id, d.s0, d.delta, d.stop, avg(case when d.s0 < d.stop then d.delta end) over (partition by d.cohort, d.signal_id) as base
+      from (select t.cohort, t.signal_id, t.s0, t.recent - t.earlier as delta, l.lo + (l.hi - l.lo) * 0.2 as stop
+            from (select cohort, signal_id, s0, avg(value) over ({K} order by s0 rows between 3 preceding and current row) as recent, avg(value) over ({K} order by s0 rows between 7 preceding and 4 preceding) as earlier from @obs) t
+            join (select cohort, min(s0) as lo, max(s0) as hi from @obs group by cohort) l on t.cohort = l.cohort where t.earlier is not null) d) x where s0 > stop and base is not null""")
 view("v_canary_sequence", """
-select cohort, signal_id, first_departure, row_number() over (partition by cohort order by first_departure, signal_id) as canary_rank, count(*) over (partition by cohort) as n_canaries
-from (select cohort, signal_id, min(s0) as first_departure from (select cohort, signal_id, s0, life, percent_rank() over (partition by cohort, signal_id order by abs(departure)) as p from @v_signal_trajectory) x where p > 0.99 and life > 0.2 group by cohort, signal_id) y""")
-view("canary_entropy", """
-select cohort, signal_id, s0 as first_place from (select cohort, signal_id, s0, row_number() over (partition by cohort, signal_id order by s0) as k from @v_burst_detection where burst_state = 'burst') x where k = 1""")
-view("v_signal_ranked", f"""
-select cohort, signal_id, rank() over (partition by signal_id order by std desc nulls last) as std_rank, rank() over (partition by signal_id order by kurtosis desc nulls last) as kurtosis_rank, rank() over (partition by signal_id order by abs(skewness) desc nulls last) as skew_rank,
-       {r('percent_rank() over (partition by signal_id order by cv nulls last)')} as cv_pct from @signal_statistics""")
-view("v_entity_comparison", f"""
-select signal_id, cohort, mean, {r('percent_rank() over (partition by signal_id order by mean)')} as mean_pct, {r('mean - avg(mean) over (partition by signal_id)')} as from_fleet, case when percent_rank() over (partition by signal_id order by mean) > 0.9 then 'high' when percent_rank() over (partition by signal_id order by mean) < 0.1 then 'low' else 'typical' end as standing
-from @signal_statistics""")
-view("v_stability_periods", """
--- runs of one severity: a running count of changes is the island's key
-select cohort, severity, min(s0) as period_start, max(s0) as period_end, count(*) as n_places
-from (select cohort, s0, severity, sum(changed) over (partition by cohort order by s0 rows between unbounded preceding and current row) as island
-      from (select cohort, s0, severity, case when severity = lag(severity) over (partition by cohort order by s0) then 0 else 1 end as changed from @v_deviation_flags) x) y group by cohort, severity, island""")
-view("v_geometric_transitions", """
--- a state that lasts one place between two equal ones is flicker
-select cohort, s0, state, smooth, coalesce(smooth <> lag(smooth) over (partition by cohort order by s0), false) as is_transition
-from (select cohort, s0, severity as state, case when lag(severity) over (partition by cohort order by s0) = lead(severity) over (partition by cohort order by s0) then lag(severity) over (partition by cohort order by s0) else severity end as smooth from @v_deviation_flags) x""")
-view("v_break_type", f"""
-select cohort, signal_id, s0, {r('magnitude')} as magnitude, rank() over (partition by cohort order by round(magnitude, 6) desc) as magnitude_rank, {r('percent_rank() over (order by round(magnitude, 6))')} as magnitude_pct
-from (select b.cohort, b.signal_id, b.s0, abs(t.regime_mean - p.regime_mean) as magnitude from @v_regime_boundaries b join @v_regime_stats t on b.cohort = t.cohort and b.signal_id = t.signal_id and b.regime_number = t.regime_id
-      join @v_regime_stats p on b.cohort = p.cohort and b.signal_id = p.signal_id and b.regime_number - 1 = p.regime_id) x""")
-view("v_break_sequence", """
-select cohort, signal_id, first_break, row_number() over (partition by cohort order by first_break, signal_id) as break_rank, first_break - min(first_break) over (partition by cohort) as latency,
-       first_break - lag(first_break) over (partition by cohort order by first_break, signal_id) as cascade_delay from (select cohort, signal_id, min(s0) as first_break from @v_regime_boundaries group by cohort, signal_id) x""")
-view("v_break_cascade", "select cohort, signal_id, break_rank, latency, case when break_rank = 1 then 'initiator' when latency <= 10 then 'early_follower' else 'late_follower' end as cascade_role from @v_break_sequence")
-view("v_break_summary", f"""
-select cohort, signal_id, count(*) as n_breaks, {r('avg(magnitude)')} as mean_magnitude, rank() over (order by count(*) desc) as count_rank from @v_break_type group by cohort, signal_id""")
-view("v_break_patterns_ranked", f"""
-select cohort, signal_id, {r('spacing')} as mean_spacing, {r('cv')} as spacing_cv, rank() over (order by round(cv, 6) nulls last) as regularity_rank
-from (select cohort, signal_id, avg(gap) as spacing, {div('stddev_samp(gap)', 'avg(gap)')} as cv from (select cohort, signal_id, s0 - lag(s0) over ({K} order by s0) as gap from @v_regime_boundaries) x group by cohort, signal_id) y""")
-view("v_regimes", "select cohort, signal_id, regime_id, regime_length, row_number() over (partition by cohort, signal_id order by regime_length desc, regime_id) as duration_rank from @v_regime_stats where regime_length >= 10")
+select cohort, signal_id, first_departure_i, departure_magnitude, row_number() over (partition by cohort order by first_departure_i, departure_magnitude desc, signal_id) as canary_rank, count(*) over (partition by signal_id) as times_canary_across_fleet
+from (select cohort, signal_id, s0 as first_departure_i, slope_departure_abs as departure_magnitude, row_number() over (partition by cohort, signal_id order by s0) as k from @v_signal_trajectory where slope_departure_pctile > 0.99) x where k = 1""")
 
 # --- ground truth ------------------------------------------------------------------------------------------------
 view("v_label_summary", "select label_name, count(*) as n_labels, count(*) filter (where label_value = '1') as n_positive, #list(label_value; ',') as label_values from @labels group by label_name")
 view("v_fault_times", "select cohort, min(signal_0_center) as fault_time, count(*) as n_fault_places from @labels where label_value = '1' group by cohort")
 view("v_deviation_ranked", f"""
-select cohort, s0, deviation_score, {r('percent_rank() over (partition by cohort order by deviation_score)')} as deviation_pct, rank() over (partition by cohort order by deviation_score desc) as cohort_rank, rank() over (order by deviation_score desc) as fleet_rank from @v_deviation_flags""")
-view("v_first_deviation", "select cohort, min(s0) filter (where deviation_pct > 0.90) as first_p90, min(s0) filter (where deviation_pct > 0.95) as first_p95, min(s0) filter (where deviation_pct > 0.99) as first_p99 from @v_deviation_ranked group by cohort")
+select cohort, signal_0_center, deviation_score, {share('deviation_score', 'cohort')} as cohort_pctile, {share('deviation_score')} as fleet_pctile, {rank('deviation_score', 'cohort')} as cohort_rank, {rank('deviation_score')} as fleet_rank from @baseline_deviation""")
+view("v_first_deviation", "select cohort, min(signal_0_center) filter (where cohort_pctile > 0.90) as first_p90, min(signal_0_center) filter (where cohort_pctile > 0.95) as first_p95, min(signal_0_center) filter (where cohort_pctile > 0.99) as first_p99 from @v_deviation_ranked group by cohort")
 view("v_detection_vs_truth", """
 select f.cohort, f.fault_time, d.first_p90, d.first_p95, d.first_p99, f.fault_time - d.first_p95 as lead_time,
        case when d.first_p95 is null then 'missed' when d.first_p95 < f.fault_time then 'early' when d.first_p95 = f.fault_time then 'on_time' else 'late' end as outcome
 from @v_fault_times f left join @v_first_deviation d on f.cohort = d.cohort""")
 view("v_detection_outcome_summary", f"""
-select count(*) as n_faults, {r('1.0 * count(*) filter (where lead_time > 0) / count(*)')} as early_rate, {r('avg(lead_time)', 9)} as mean_lead, {r(quantile(0.5, 'lead_time'))} as median_lead from @v_detection_vs_truth""")
-view("v_metric_aligned_to_fault", """
-select d.cohort, d.signal_id as metric, d.s0 - f.fault_time as t, d.exceedance as score from @v_deviation_scores d join @v_fault_times f on d.cohort = f.cohort""")
+select count(*) as n_faults, {r('1.0 * count(*) filter (where lead_time > 0) / nullif(count(*), 0)')} as early_rate, {r('avg(lead_time)', 9)} as mean_lead, {r(quantile(0.5, 'lead_time'))} as median_lead from @v_detection_vs_truth""")
+view("v_metric_aligned_to_fault", " union all ".join(f"select p.cohort, '{m}' as metric, p.signal_0_center - f.fault_time as t, p.{m} as score from @physics p join @v_fault_times f on p.cohort = f.cohort where p.{m} is not null" for m in ("energy_proxy", "coherence", "state_distance", "effective_dim", "eigenvalue_entropy", "condition_number")))
 view("v_metric_baseline", f"select metric, {r(quantile(0.05, 'score'))} as p05, {r(quantile(0.95, 'score'))} as p95, count(*) as n from @v_metric_aligned_to_fault where t between -200 and -100 group by metric having count(*) > 10")
 view("v_metric_first_deviation", """
 select a.cohort, a.metric, min(a.t) as first_t from @v_metric_aligned_to_fault a join @v_metric_baseline b on a.metric = b.metric where a.t > -100 and a.score > b.p95 group by a.cohort, a.metric""")
@@ -114,7 +111,7 @@ select l.metric, count(*) as n_detected, {r('1.0 * count(*) / max(f.n)')} as det
 from @v_metric_lead_times l cross join (select count(*) as n from @v_fault_times) f where l.outcome = 'before' group by l.metric""")
 view("v_threshold_candidates", f"""
 select metric, k.step * 5 as pct, min(score) as threshold from (select metric, score, ntile(20) over (partition by metric order by score, cohort, t) as bin from @v_metric_aligned_to_fault) x
-join (select 10 as step union all select 12 union all select 14 union all select 16 union all select 18 union all select 19) k on x.bin = k.step + 1 group by metric, k.step * 5""")
+join (select #each(10, 12, 14, 16, 18, 19) as step) k on x.bin = k.step + 1 group by metric, k.step * 5""")
 view("v_threshold_detection", """
 select c.metric, c.pct, c.threshold, a.cohort, min(a.t) as first_t from @v_threshold_candidates c join @v_metric_aligned_to_fault a on c.metric = a.metric where a.score > c.threshold and a.t > -100 group by c.metric, c.pct, c.threshold, a.cohort""")
 view("v_threshold_performance", f"""
@@ -145,47 +142,6 @@ view("v_feature_significance", f"""
 select v.feature, v.variance_rank, t.temporal_rank, {r('(v.variance_rank + t.temporal_rank) / 2.0')} as mean_rank, case when (v.variance_rank + t.temporal_rank) / 2.0 <= 2 then 'high' else 'low' end as relevance from @v_feature_variance v join @v_feature_temporal t on v.feature = t.feature""")
 
 # --- units, work orders, visualisation, summaries ----------------------------------------------------------------
-view("unit_signal_class", """
-select 'usd' as unit, 'analog' as signal_class, true as interpolation_valid union all select 'count', 'event', false union all select 'hz', 'analog', true union all select 's', 'analog', true union all select 'bool', 'digital', false""")
-view("unit_conversions", """
-select 'hz' as unit, 'hz' as si_unit, cast(1.0 as double) as factor, cast(0.0 as double) as term union all select 'rpm', 'hz', 0.016666666667, 0.0 union all select 'degC', 'K', 1.0, 273.15 union all select 'degF', 'K', 0.555555555556, 255.372222222222
-union all select 'psi', 'Pa', 6894.757293168, 0.0 union all select 'bar', 'Pa', 100000.0, 0.0 union all select 's', 's', 1.0, 0.0 union all select 'min', 's', 60.0, 0.0""")
-view("v_unit_validation", "select s.signal_id, s.unit, u.signal_class, u.unit is not null as is_known, c.si_unit, c.factor from @signals s left join @unit_signal_class u on lower(s.unit) = lower(u.unit) left join @unit_conversions c on s.unit = c.unit")
-view("converted", f"select o.cohort, o.signal_id, o.s0, {r('o.value * coalesce(c.factor, 1) + coalesce(c.term, 0)')} as si_value from @v_base o left join @unit_conversions c on o.value_unit = c.unit")
-view("v_signal_class_unit", "select s.signal_id, s.unit, coalesce(u.signal_class, 'unknown') as signal_class, coalesce(u.interpolation_valid, false) as interpolation_valid from @signals s left join @unit_signal_class u on lower(s.unit) = lower(u.unit)")
-view("v_signal_class_summary", "select signal_class, count(*) as n_signals, #list(signal_id; ',') as signals from @v_signal_class_unit group by signal_class")
-view("v_engine_work_orders", """
-select m.cohort, m.signal_id, m.needs_hurst, m.needs_lyapunov, m.needs_fft, m.needs_garch, case when m.needs_lyapunov then 1 when m.needs_garch or m.needs_fft then 2 else 3 end as priority from @v_engine_requests m""")
-view("v_work_order_summary", "select priority, count(*) as n, count(*) filter (where needs_hurst) as n_hurst, count(*) filter (where needs_garch) as n_garch from @v_engine_work_orders group by priority")
-view("v_chart_top_correlations", "select cohort, signal_a, signal_b, correlation from @v_correlation_matrix where abs(correlation) > 0.02 order by abs(correlation) desc, cohort, signal_a, signal_b limit 20")
-view("v_graph_nodes", "select r.cohort, r.signal_id, r.role, coalesce(d.degree, 0) as degree, case r.role when 'source' then 'red' when 'sink' then 'blue' when 'driver' then 'orange' else 'grey' end as colour from @v_causal_roles r left join @v_node_degree d on r.cohort = d.cohort and r.signal_id = d.signal_id")
-view("v_graph_edges", "select cohort, source, target, weight, edge_type from @v_causal_graph where weight > 0")
-view("v_chart_regime_summary", f"select cohort, signal_id, count(*) as n_regimes, {r('avg(regime_length)', 9)} as mean_length, max(regime_length) as longest from @v_regime_stats group by cohort, signal_id")
-view("v_dashboard_signal_cards", """
-select s.cohort, s.signal_id, s.mean, s.std, t.behavioral_type, c.role, e.entropy_class, rank() over (partition by s.cohort order by s.std desc) as std_rank
-from @signal_statistics s left join @v_signal_typology t on s.cohort = t.cohort and s.signal_id = t.signal_id left join @v_causal_roles c on s.cohort = c.cohort and s.signal_id = c.signal_id left join @v_shannon_entropy e on s.cohort = e.cohort and s.signal_id = e.signal_id""")
-view("v_dashboard_system_health", f"select cohort, count(*) as n_signals, count(*) filter (where is_stationary) as n_stationary, {r('1.0 * count(*) filter (where is_stationary) / count(*)')} as stability_score from @v_stationarity group by cohort")
-view("v_summary_all_layers", """
-select 'typology' as layer, behavioral_type as metric, count(*) as n from @v_signal_typology group by behavioral_type union all select 'geometry', strength, count(*) from @v_optimal_lag group by strength
-union all select 'dynamics', stability_state, count(*) from @v_stability group by stability_state union all select 'causality', role, count(*) from @v_causal_roles group by role""")
-view("v_signals_needing_attention", """
-select cohort, signal_id, count(*) as n_reasons, #list(reason; ',') as reasons from (
-  select cohort, signal_id, 'chaotic' as reason from @v_chaos_proxy where is_chaotic union all select cohort, signal_id, 'drifting' from @drift_report where drift <> 'none'
-  union all select cohort, signal_id, 'unstable' from @v_stationarity where not is_stationary union all select cohort, signal_id, 'insufficient' from @v_data_quality where insufficient) x group by cohort, signal_id""")
-view("v_signal_departure", f"""
-select d.cohort, d.signal_id, n_null, n_zero, n_outlier, {r('100 - 100.0 * (n_null + n_outlier) / n')} as quality_score from (
-  select cohort, signal_id, count(*) as n, count(*) - count(value) as n_null, count(*) filter (where value = 0) as n_zero, count(*) filter (where p < 0.01 or p > 0.99) as n_outlier
-  from (select cohort, signal_id, value, percent_rank() over ({K} order by value) as p from @obs) x group by cohort, signal_id) d""")
-view("v_dataset_overview", f"select count(*) as n_rows, count(distinct cohort) as n_cohorts, count(distinct signal_id) as n_signals, {r('avg(value)')} as mean_value, {r('stddev_samp(value)')} as std_value, min(s0) as first_place, max(s0) as last_place from @obs")
-view("v_sparkline_data", f"""
-select cohort, signal_id, s0, value from (select cohort, signal_id, s0, value, row_number() over ({K} order by s0) as k, count(*) over ({K}) as n from @obs) x where (k - 1) % greatest(1, cast(floor(n / 100.0) as bigint)) = 0""")
-view("v_insight_cards", """
-(select 'most_volatile' as insight, cohort, signal_id, std as score from @signal_statistics order by std desc, cohort, signal_id limit 1)
-union all (select 'most_skewed', cohort, signal_id, abs(skewness) from @signal_statistics order by abs(skewness) desc, cohort, signal_id limit 1)
-union all (select 'most_breaks', cohort, signal_id, cast(n_breaks as double) from @v_break_summary order by n_breaks desc, cohort, signal_id limit 1)""")
-view("v_deviations", """
-select cohort, signal_id, s0, kind from (select c.cohort, c.signal_id, c.s0, 'velocity_spike' as kind from @v_derivative_anomaly c where c.d1_anomaly = 1
-union all select cohort, signal_id, s0, 'regime_change' from @v_regime_boundaries) x""")
 view("fleet_zscores", f"""
 -- fleet statistics by axis place, then z-scores against them
 select o.cohort, o.signal_id, o.s0, {r(div('o.value - f.m', 'f.s'))} as z from @obs o join (select signal_id, s0, avg(value) as m, stddev_samp(value) as s from @obs group by signal_id, s0) f on o.signal_id = f.signal_id and o.s0 = f.s0""")
@@ -194,11 +150,4 @@ view("rolling_features", "select cohort, signal_id, s0, " + ", ".join(
 view("remaining_life", f"""
 -- remaining useful life, capped, and the first and second differences that models take beside it
 select cohort, signal_id, s0, least(125, max(s0) over (partition by cohort) - s0) as rul, value, {r(f'value - lag(value) over ({K} order by s0)')} as delta, {r(f'value - 2 * lag(value) over ({K} order by s0) + lag(value, 2) over ({K} order by s0)')} as delta2 from @obs""")
-view("cohort_vector", f"""
-select cohort, window_index, count(*) as n_signals, {r('avg(mean)', 9)} as centroid_mean, {r('avg(std)', 9)} as centroid_std, {r('stddev_samp(mean)', 9)} as dispersion_mean, {r('stddev_samp(std)', 9)} as dispersion_std from @signal_windows group by cohort, window_index""")
-view("v_velocity_field", f"""
-select cohort, window_index, {r('sqrt(dm * dm + ds * ds)')} as speed, {r('sqrt(dm * dm + ds * ds) - lag(sqrt(dm * dm + ds * ds)) over (partition by cohort order by window_index)')} as acceleration
-from (select cohort, window_index, centroid_mean - lag(centroid_mean) over (partition by cohort order by window_index) as dm, centroid_std - lag(centroid_std) over (partition by cohort order by window_index) as ds from @cohort_vector) x where dm is not null""")
-view("v_canary_signals", f"""
-select cohort, signal_id, {r(corr('mean', 'cast(window_index as double)'))} as mean_with_life, {r(corr('std', 'cast(window_index as double)'))} as std_with_life from @signal_windows group by cohort, signal_id having stddev_pop(mean) > 0""")
 view("checksums", "select cohort, signal_id, count(*) as n, cast(sum(cast(round(coalesce(value, 0) * 100, 0) as bigint) * (cast(s0 as bigint) % 1009 + 1)) as bigint) as checksum from @obs group by cohort, signal_id")

@@ -28,23 +28,23 @@ view("report_volatility_drift", f"""
 select cohort, signal_id, {r(div('max(case when q = 10 then s end)', 'max(case when q = 1 then s end)'), 8)} as volatility_ratio, {r('regr_slope(s, q)', 8)} as volatility_slope from @drift_windows group by cohort, signal_id""")
 view("report_system_drift", """
 select cohort, count(*) as n_signals, count(*) filter (where drift = 'strong') as n_strong, count(*) filter (where drift = 'mild') as n_mild, case when count(*) filter (where drift <> 'none') >= 0.5 * count(*) then 'systemic' else 'local' end as extent from @drift_report group by cohort""")
-view("report_baseline_exceedance", f"select cohort, signal_id, count(*) as n, count(*) filter (where side = 'high') as n_high, count(*) filter (where side = 'low') as n_low, {r('1.0 * count(*) filter (where side <> ' + chr(39) + 'in' + chr(39) + ') / count(*)', 9)} as share_out from @baseline_deviation group by cohort, signal_id")
+view("report_baseline_exceedance", f"select cohort, signal_id, count(*) as n, count(*) filter (where side = 'high') as n_high, count(*) filter (where side = 'low') as n_low, {r('1.0 * count(*) filter (where side <> ' + chr(39) + 'in' + chr(39) + ') / count(*)', 9)} as share_out from @signal_deviations where not in_baseline group by cohort, signal_id")
 
 # --- ranking -----------------------------------------------------------------------------------------------------
 view("report_signal_importance", f"""
 select s.cohort, s.signal_id, {r('percent_rank() over (partition by s.cohort order by s.std)', 9)} as volatility_pct, {r('percent_rank() over (partition by s.cohort order by abs(d.effect_size))', 9)} as drift_pct, coalesce(n.degree, 0) as degree
 from @signal_statistics s join @drift_segments d on s.cohort = d.cohort and s.signal_id = d.signal_id left join @v_node_degree n on s.cohort = n.cohort and s.signal_id = n.signal_id""")
-view("report_leading_candidates", "select cohort, signal_id, n_leads, n_follows, rank() over (partition by cohort order by n_leads - n_follows desc) as lead_rank from @v_directional_degree")
-view("report_redundant_signals", "select cohort, signal_a, signal_b, mean_abs, rank() over (partition by cohort order by mean_abs desc) as redundancy_rank from @v_redundant_pairs")
+view("report_leading_candidates", "select cohort, signal_id, out_degree, in_degree, rank() over (partition by cohort order by net_influence desc) as lead_rank from @v_directional_degree")
+view("report_redundant_signals", "select sig_lo, sig_hi, mean_abs_corr, n_observations, rank() over (order by mean_abs_corr desc) as redundancy_rank from @v_redundant_pairs")
 
 # --- periodicity -------------------------------------------------------------------------------------------------
-view("report_zero_crossings", f"select cohort, signal_id, n_crossings, crossing_rate, {r(div('2', 'crossing_rate'), 6)} as period_estimate from @v_mean_reversion")
+view("report_zero_crossings", f"select cohort, signal_id, n_crossings, crossing_rate, {r(div('2', 'crossing_rate'), 6)} as period_estimate from @signal_zero_crossings")
 view("report_oscillation_amplitude", f"""
-select cohort, signal_id, {r('avg(swing)', 8)} as mean_swing, {r('max(swing)', 8)} as max_swing, count(*) as n_swings from (select cohort, signal_id, abs(value - lag(value) {W}) as swing from @v_local_extrema) x where swing is not null group by cohort, signal_id""")
+select cohort, signal_id, {r('avg(swing)', 8)} as mean_swing, {r('max(swing)', 8)} as max_swing, count(*) as n_swings from (select cohort, signal_id, abs(value - lag(value) {W}) as swing from @v_local_extrema where extrema_type is not null) x where swing is not null group by cohort, signal_id""")
 view("report_cycle_changes", f"""
 select cohort, signal_id, {r('avg(gap) filter (where half = 1)', 8)} as early_period, {r('avg(gap) filter (where half = 2)', 8)} as late_period, {r('avg(gap) filter (where half = 2) - avg(gap) filter (where half = 1)', 8)} as change
-from (select cohort, signal_id, s0 - lag(s0) {W} as gap, ntile(2) {W} as half from @v_local_extrema where extremum = 'peak') x group by cohort, signal_id""")
-view("report_hunting", "select z.cohort, z.signal_id, z.crossing_rate, p.gap_cv, z.crossing_rate > 0.3 and p.gap_cv < 0.6 as is_hunting from @v_mean_reversion z join @periodicity_report p on z.cohort = p.cohort and z.signal_id = p.signal_id")
+from (select cohort, signal_id, s0 - lag(s0) {W} as gap, ntile(2) {W} as half from @v_local_extrema where extrema_type = 'peak') x group by cohort, signal_id""")
+view("report_hunting", "select z.cohort, z.signal_id, z.crossing_rate, p.gap_cv, z.crossing_rate > 0.3 and p.gap_cv < 0.6 as is_hunting from @signal_zero_crossings z join @periodicity_report p on z.cohort = p.cohort and z.signal_id = p.signal_id")
 
 # --- regimes -----------------------------------------------------------------------------------------------------
 view("regime_tiles", f"select cohort, signal_id, tile, avg(value) as m, max(value) - min(value) as span, stddev_samp(value) as s from (select cohort, signal_id, value, ntile(20) {W} as tile from @obs) x group by cohort, signal_id, tile")
@@ -58,60 +58,35 @@ view("report_transients", f"select cohort, signal_id, tile, {r('span / nullif(ty
 view("report_decoupling", "select cohort, signal_a, signal_b, early, late, change, case when abs(early) > abs(late) + 0.05 then 'decoupling' when abs(late) > abs(early) + 0.05 then 'coupling' else 'stable' end as event from @correlation_changes")
 view("report_network_density", f"select cohort, {r('avg(density)', 9)} as mean_density, {r('max(density)', 9)} as max_density, count(*) as n_tiles from @v_topology group by cohort")
 view("report_first_movers", """
-select cohort, signal_id, first_departure, case when canary_rank = 1 then 'first_mover' when canary_rank <= 2 then 'early' else 'late' end as mover from @v_canary_sequence""")
+select cohort, signal_id, first_departure_i, case when canary_rank = 1 then 'first_mover' when canary_rank <= 2 then 'early' else 'late' end as mover from @v_canary_sequence""")
 view("report_propagation", """
-select cohort, signal_id as follower, before as leader, cascade_delay as delay from (select cohort, signal_id, cascade_delay, lag(signal_id) over (partition by cohort order by first_break, signal_id) as before from @v_break_sequence) x where before is not null""")
+select cohort, signal_id as follower, before as leader, cascade_delay as delay from (select cohort, signal_id, cascade_delay, lag(signal_id) over (partition by cohort order by propagation_rank) as before from @v_break_sequence) x where before is not null""")
 view("report_lag_stability", f"""
-select cohort, signal_a, signal_b, count(*) as n_lags, {r('stddev_samp(correlation)', 9)} as lag_spread, max(case when lag_steps = 1 then correlation end) as at_1, max(case when lag_steps = 20 then correlation end) as at_20 from @v_lagged_correlation group by cohort, signal_a, signal_b""")
+select cohort, signal_a, signal_b, count(*) as n_lags, {r('stddev_samp(correlation)', 9)} as lag_spread, max(case when lag = 1 then correlation end) as at_1, max(case when lag = 20 then correlation end) as at_20 from @v_lagged_correlation group by cohort, signal_a, signal_b""")
 view("report_influence", f"""
 select r.cohort, r.signal_id, r.out_degree, r.in_degree, {r('coalesce(s.strength, 0)', 9)} as outgoing_strength, rank() over (partition by r.cohort order by round(coalesce(s.strength, 0), 9) desc) as influence_rank
-from @v_causal_roles r left join (select cohort, source, sum(causal_strength) as strength from @v_causal_strength group by cohort, source) s on r.cohort = s.cohort and r.signal_id = s.source""")
-view("report_responsive", f"select cohort, target as signal_id, {r('avg(mean_magnitude)', 8)} as mean_response, count(*) as n_sources from @v_intervention_effects group by cohort, target")
-view("report_feedback_loops", "select cohort, source as signal_a, target as signal_b from @v_bidirectional_causality where direction = 'bidirectional' and source < target")
+from @v_causal_roles r left join (select cohort, source, sum(combined_causal_strength) as strength from @v_causal_strength group by cohort, source) s on r.cohort = s.cohort and r.signal_id = s.source""")
+view("report_responsive", f"select cohort, target as signal_id, {r('avg(abs(intervention_correlation))', 8)} as mean_response, count(*) as n_sources from @v_intervention_effects group by cohort, target")
+view("report_feedback_loops", "select cohort, signal_a, signal_b from @v_bidirectional_causality where causal_direction = 'bidirectional' and signal_a < signal_b")
 
 # --- departure and validity --------------------------------------------------------------------------------------
 view("report_departure_scorecard", f"""
-select h.cohort, h.health, s.n_strong, v.n_changing_places, b.n_breaks, {r('(1 - h.health) + 1.0 * coalesce(s.n_strong, 0) / s.n_signals', 9)} as departure
+select h.cohort, h.pct_abnormal, s.n_strong, v.n_changing_places, b.n_breaks, {r('coalesce(h.pct_abnormal, 0) / 100 + 1.0 * coalesce(s.n_strong, 0) / s.n_signals', 9)} as departure
 from @v_deviation_entity_summary h join @report_system_drift s on h.cohort = s.cohort left join (select cohort, count(*) as n_changing_places from @v_system_regime group by cohort) v on h.cohort = v.cohort
 left join (select cohort, sum(n_breaks) as n_breaks from @v_break_summary group by cohort) b on h.cohort = b.cohort""")
 view("report_departure_matrix", f"select e.cohort, e.signal_id, e.share_out, d.effect_size, v.volatility_ratio from @report_baseline_exceedance e join @drift_segments d on e.cohort = d.cohort and e.signal_id = d.signal_id join @report_volatility_drift v on e.cohort = v.cohort and e.signal_id = v.signal_id")
 view("report_data_sufficiency", "select cohort, count(*) as n, count(distinct signal_id) as n_signals, count(*) >= 1000 as lyapunov_reliable, count(*) >= 128 as hurst_reliable, case when count(*) >= 1000 then 'full' when count(*) >= 200 then 'standard' when count(*) >= 50 then 'basic' else 'insufficient' end as tier from @obs group by cohort")
-view("report_baseline_validity", f"select cohort, signal_id, n_baseline, {r(div('std', 'abs(mean)'), 8)} as baseline_cv, n_baseline >= 20 as is_long_enough, {div('std', 'abs(mean)')} < 1 as is_stable from @baselines")
-view("config_thresholds", """
-select 'hurst_long' as name, cast(0.65 as double) as threshold union all select 'lyapunov_chaos', 0.1 union all select 'effective_dim_warning', 2.0 union all select 'effective_dim_critical', 1.5 union all select 'collapse_velocity', -0.1 union all select 'strong_correlation', 0.7""")
-view("config_engine_requirements", "select 'lyapunov' as engine, 200 as min_observations, 'divergence needs many neighbours' as rationale union all select 'hurst', 128, 'several doublings of the block' union all select 'spectral', 64, 'resolution' union all select 'garch', 50, 'autocorrelation of squares'")
-
+view("report_baseline_validity", f"select cohort, signal_id, n_baseline, {r(div('std', 'abs(mean)'), 8)} as baseline_cv, n_baseline >= 20 as is_long_enough, {div('std', 'abs(mean)')} < 1 as is_stable from @signal_baselines")
 # --- energy, information, summaries ------------------------------------------------------------------------------
-view("report_thermodynamics", f"""
-select cohort, window_index, {r('dispersion_mean * dispersion_mean + dispersion_std * dispersion_std', 6)} as energy, {r('ln(1 + dispersion_mean * dispersion_mean + dispersion_std * dispersion_std)', 8)} as entropy_proxy from @cohort_vector""")
-view("report_energy_trajectory", f"select cohort, {r('regr_slope(energy, window_index)', 6)} as energy_slope, {r('min(energy)', 6)} as least_energy, {r('max(energy)', 6)} as most_energy from @report_thermodynamics group by cohort")
 view("report_topology_early_late", f"""
-select cohort, {r('avg(density) filter (where tile < half)', 9)} as early_density, {r('avg(density) filter (where tile >= half)', 9)} as late_density from (select cohort, tile, density, max(tile) over (partition by cohort) / 2.0 as half from @v_topology) x group by cohort""")
-view("report_strongest_drivers", "select cohort, source, target, causal_strength from (select cohort, source, target, causal_strength, row_number() over (partition by cohort order by causal_strength desc, source, target) as k from @v_causal_strength) x where k <= 3")
-view("report_health_scorecard", "select cohort, health, n_critical, case when health > 0.9 then 'good' when health > 0.7 then 'fair' else 'poor' end as grade from @v_deviation_entity_summary")
-view("report_top_alerts", """
-select cohort, kind, n from (select cohort, kind, count(*) as n, row_number() over (partition by cohort order by count(*) desc, kind) as k from @v_deviations group by cohort, kind) x where k <= 3""")
+select cohort, {r('avg(density) filter (where signal_0_end < half)', 9)} as early_density, {r('avg(density) filter (where signal_0_end >= half)', 9)} as late_density from (select cohort, signal_0_end, density, max(signal_0_end) over (partition by cohort) / 2.0 as half from @v_topology) x group by cohort""")
+view("report_strongest_drivers", "select cohort, source, target, combined_causal_strength from (select cohort, source, target, combined_causal_strength, row_number() over (partition by cohort order by combined_causal_strength desc, source, target) as k from @v_causal_strength) x where k <= 3")
+view("report_health_scorecard", "select cohort, pct_abnormal, n_critical, departure_assessment, case when pct_abnormal < 10 then 'good' when pct_abnormal < 30 then 'fair' else 'poor' end as grade from @v_deviation_entity_summary")
 view("report_derivative_coverage", "select depth, count(*) as n_signals from @derivative_depth group by depth")
-view("report_earliest_canaries", "select cohort, signal_id, first_departure from @v_canary_sequence where canary_rank <= 2")
-view("report_incidents", "select cohort, event, count(*) as n, min(s0) as first_place, max(s0) as last_place from @v_deviation_events group by cohort, event")
-view("report_incident_spread", "select cohort, max(latency) as spread, count(*) as n_signals, case when max(latency) > 100 then 'slow' when max(latency) > 20 then 'medium' else 'fast' end as speed from @v_break_sequence group by cohort")
+view("report_earliest_canaries", "select cohort, signal_id, first_departure_i from @v_canary_sequence where canary_rank <= 2")
+view("report_incidents", "select cohort, event_type, count(*) as n, min(event_time) as first_place, max(event_time) as last_place from @v_deviation_events group by cohort, event_type")
+view("report_incident_spread", "select cohort, max(detection_latency) as spread, count(*) as n_signals, case when max(detection_latency) > 100 then 'slow' when max(detection_latency) > 20 then 'medium' else 'fast' end as speed from @v_break_sequence group by cohort")
 view("report_recent_windows", "select cohort, signal_id, window_index, mean, std from (select cohort, signal_id, window_index, mean, std, row_number() over (partition by cohort, signal_id order by window_index desc) as k from @signal_windows) x where k <= 10")
 view("report_window_features", f"select signal_id, {r('avg(mean)', 9)} as mean_of_means, {r('avg(std)', 9)} as mean_std, {r('max(rms)', 8)} as max_rms, count(*) as n_windows from @signal_windows group by signal_id")
-view("report_state_trajectory", f"select cohort, count(*) as n_windows, {r('avg(speed)', 8)} as mean_speed, {r('max(speed)', 8)} as max_speed from @v_velocity_field group by cohort")
+view("report_state_trajectory", f"select cohort, count(*) as n_windows, {r('avg(speed)', 10)} as mean_speed, {r('max(speed)', 8)} as max_speed from @v_velocity_field group by cohort")
 view("report_typology_cross", "select trend, memory, count(*) as n from @typology group by trend, memory")
-
-# --- composed exports --------------------------------------------------------------------------------------------
-view("v_dashboard_ranked", f"select cohort, signal_id, std, rank() over (order by std desc) as fleet_rank, {r('percent_rank() over (order by std)', 9)} as fleet_pct from @signal_statistics")
-view("v_dashboard_alerts", "select cohort, s0, severity from @v_deviation_flags where severity in ('critical', 'warning')")
-view("v_chart_signals", "select o.cohort, o.signal_id, o.s0 as x, o.value as y, c.signal_class from @obs o left join @v_signal_class c on o.cohort = c.cohort and o.signal_id = c.signal_id")
-view("v_chart_signals_regime", "select cohort, signal_id, s0 as x, value as y, regime_id from @v_regime_assignment")
-view("v_chart_regime_timeline", "select cohort, signal_id, regime_id, regime_start, regime_end, regime_length from @v_regime_stats")
-view("v_key_causal_chains", "select cohort, chain, strength from (select cohort, chain, strength, row_number() over (partition by cohort order by strength desc, chain) as k from @v_causal_chains) x where k <= 10")
-view("v_index_coverage", f"select cohort, signal_id, min(s0) as first_place, max(s0) as last_place, count(*) as n, {r(div('count(*)', 'max(s0) - min(s0) + 1'), 9)} as density from @obs group by cohort, signal_id")
-view("v_causal_summary", "select role, count(*) as n_signals, sum(out_degree) as n_out, sum(in_degree) as n_in from @v_causal_roles group by role")
-view("v_signal_profile", "select s.cohort, s.signal_id, s.mean, s.median, s.std, d.d1_mean_abs, d.d1_p95_abs, case when s.mean > s.median then 'right' when s.mean < s.median then 'left' else 'none' end as skew_proxy from @signal_statistics s join @v_derivative_stats d on s.cohort = d.cohort and s.signal_id = d.signal_id")
-view("v_regime_summary", f"select cohort, signal_id, regime_id, regime_length, {r('1.0 * regime_length / sum(regime_length) over (' + K + ')', 9)} as share from @v_regime_stats")
-view("v_system_dashboard", """
-select a.n_rows, a.n_cohorts, a.n_signals, b.n_strong, c.n_causal, d.n_breaks, e.n_critical
-from @v_dataset_overview a cross join (select count(*) as n_strong from @drift_report where drift = 'strong') b cross join (select count(*) as n_causal from @v_granger_proxy where causes) c
-cross join (select count(*) as n_breaks from @v_regime_boundaries) d cross join (select count(*) as n_critical from @v_deviation_flags where severity = 'critical') e""")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import store
-from ..plans import constants, dag, geometry, pairs, report_queries, reports, reports_more, signals, summaries  # noqa: F401  the modules define the views
+from ..plans import constants, dag, geometry, pairs, report_queries, report_state, reports, signals, summaries  # noqa: F401  the modules define the views
 from ..sources import readers
 from ..streaming import analyzer
 from . import graph, interp, regimes, windows

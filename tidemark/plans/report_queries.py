@@ -6,7 +6,7 @@ aggregates over one pass, not by a join of a subset for each.
 
 from __future__ import annotations
 
-from .dag import corr, div, first_of, ladder, quantile, r, rank, view
+from .dag import corr, div, first_of, ladder, r, rank, view
 
 K = "partition by cohort, signal_id"
 W = f"over ({K} order by s0)"
@@ -154,6 +154,9 @@ view("report_05_hunting", f"""
 select h.cohort, h.signal_id, n_reversals, n_points, {r(_rev, 4)} as reversal_rate, {r('excursion', 4)} as avg_excursion, {ladder(_rev, '>', (0.3, 'SEVERE_HUNTING'), (0.2, 'MODERATE_HUNTING'), (0.1, 'MILD_HUNTING'), other='WITHIN_BASELINE')} as hunting_severity, {ladder(_rev, '>', (0.3, 'HIGH_FREQUENCY_REVERSALS'), (0.2, 'ELEVATED_REVERSAL_RATE'), other='WITHIN_BASELINE')} as recommendation
 from (select cohort, signal_id, count(*) filter (where sign(x) <> sign(prv)) as n_reversals, count(*) as n_points, avg(abs(x)) as excursion, max(dev) as dev from @centred group by cohort, signal_id) h join @typology t on h.cohort = t.cohort and h.signal_id = t.signal_id where t.continuity = 'continuous' and {_rev} > 0.4 and excursion > 0.8 * dev""")
 
+view("drift_windows", f"select cohort, signal_id, q, avg(value) as m, stddev_samp(value) as s from (select cohort, signal_id, value, ntile(10) {W} as q from @obs) x group by cohort, signal_id, q")
+view("regime_tiles", f"select cohort, signal_id, tile, avg(value) as m, max(value) - min(value) as span, stddev_samp(value) as s from (select cohort, signal_id, value, ntile(20) {W} as tile from @obs) x group by cohort, signal_id, tile")
+
 # --- 06 regimes --------------------------------------------------------------------------------------------------
 view("tile_moves", f"""
 select cohort, signal_id, tile as window_id, m as sig_mean, span as sig_range, {div(f'abs(m - lag(m) over ({K} order by tile))', 'span')} as moved, {div('span', f'lag(span) over ({K} order by tile)')} as range_ratio from @regime_tiles""")

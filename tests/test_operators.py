@@ -116,19 +116,87 @@ def test_readers(spark, tmp_path):
     assert readers.markdown(spark.range(1)).startswith("| id |")
 
 
+def test_formats_converters_and_checks(spark, tmp_path):
+    import struct
+
+    (tmp_path / "t.csv").write_text("ts,unit,a,b\n0,u1,1.5,2\n1,u1,2.5,3\n")
+    (tmp_path / "log").write_text(" ".join(["1", "1", *["0.5"] * 24]) + "\n")
+    assert readers.detect_format(spark, str(tmp_path / "t.csv")) == "csv" and readers.detect_format(spark, str(tmp_path / "log")) == "run_log"
+    info = readers.file_info(spark, str(tmp_path / "t.csv"))
+    assert info["n_rows"] == 2 and info["numeric"] == ["ts", "a", "b"] and readers.preview(spark, str(tmp_path / "t.csv"), 1)[0]["a"] == 1.5
+    assert readers.detect_index(readers.load(spark, str(tmp_path / "t.csv")))[0]["column"] == "ts"
+    long_ = readers.wide(readers.load(spark, str(tmp_path / "t.csv")), ["a", "b"], "unit", "ts")
+    assert [tuple(r) for r in readers.pivoted(long_, ["a", "b"]).orderBy("s0").collect()] == [("u1", 0.0, 1.5, 2.0), ("u1", 1.0, 2.5, 3.0)]
+
+    class Doubles(readers.Converter):
+        pattern = "*.dbl"
+
+        def rows(self, data, name):
+            for i, v in enumerate(struct.unpack(f"<{len(data) // 8}d", data)):
+                yield name.removesuffix(".dbl"), "x", float(i), v
+
+    (tmp_path / "m.dbl").write_bytes(struct.pack("<3d", 1, 2, 3))
+    assert sorted(tuple(r) for r in readers.convert(spark, str(tmp_path), Doubles()).collect()) == [("m", "x", 0.0, 1.0), ("m", "x", 1.0, 2.0), ("m", "x", 2.0, 3.0)]
+    o = readers.oscillator(spark, 500)
+    assert o.count() == 2000 and {r["signal_id"]: r["faults"] for r in readers.validated(o).collect()}["x"] == []
+    bad = spark.createDataFrame([("a", "x", 0.0, 1.0), ("a", "x", 0.0, 1.0), ("a", "x", 1.0, None)], readers.OBSERVATIONS)
+    assert readers.validated(bad).collect()[0]["faults"] == ["nulls", "repeated_places", "constant", "short"]
+
+
+def streamed(spark, frame, name):
+    q = frame.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
 def test_stateful_analyser_and_windows_on_a_stream(spark, tmp_path):
-    pts = spark.range(250).select(F.lit("k").alias("key"), F.sin(F.col("id") / 5).alias("a"), F.cos(F.col("id") / 3).alias("b"), F.timestamp_seconds(F.col("id") * 60).alias("ts"))
+    pts = spark.range(260).select(F.lit("k").alias("key"), F.sin(F.col("id") / 5).alias("a"), F.cos(F.col("id") / 3).alias("b"), F.sin(F.col("id") / 5).alias("c"), F.timestamp_seconds(F.col("id") * 60).alias("ts"))
     pts.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(pts.schema).parquet(str(tmp_path / "in"))
-    q = analyzer.analyse(stream, "key", ["a", "b"]).writeStream.format("memory").queryName("analysed").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    r = spark.sql("select * from analysed").collect()[-1]
-    assert r["n"] == 250 and r["stage"] == "full" and 1.5 < r["effective_dim"] <= 2.01 and r["spectral_entropy"] < 0.5
-    q = analyzer.windowed(stream, "ts", ["key"], "a").writeStream.format("memory").queryName("hours").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert spark.sql("select * from hours").count() >= 1
+    got = streamed(spark, analyzer.analyse(stream, "key", ["a", "b"], "ts"), "analysed")
+    rows = got.orderBy("n").collect()
+    assert [r["n"] for r in rows] == list(range(1, 261))  # a row for each point
+    assert rows[8]["effective_dim"] is None and 1.5 < rows[-1]["effective_dim"] <= 2.01 and rows[-1]["stage"] == "full_analysis" and rows[-1]["spectral_entropy"] < 0.5
+    assert [r["n"] for r in rows if r["exponent"] is not None] == [200, 250]  # by a counter of its own
+    last = analyzer.status(got).collect()[0]
+    assert last["n"] == 260 and last["n_rows"] == 260 and analyzer.history(got, 10).count() == 10
+    one = streamed(spark, analyzer.analyse(stream, "key", ["a", "c"], "ts"), "collapsed").orderBy("n").collect()
+    assert one[20]["raised"] == ["CRITICAL effective_dimension"] and one[20]["alerts"] == ["CRITICAL effective_dimension"] and one[5]["alerts"] == []
+    assert analyzer.warnings(1.8, 0.5) == ["WARNING effective_dimension", "WARNING divergence"]
+    sent = []
+    analyzer.deliver(stream.select("key", "a"), sent.append, str(tmp_path / "sent")).awaitTermination()
+    assert len(sent) == 260 and sent[0]["key"] == "k"
+    assert streamed(spark, analyzer.windowed(stream, "ts", ["key"], "a"), "hours").count() >= 1
+
+
+def test_alerts_age(spark, tmp_path):
+    flat = [(float(i), 1.0, 1.0) for i in range(20)] + [(1000.0 + i, float(np.sin(i)), float(np.cos(2.7 * i))) for i in range(120)]
+    pts = spark.createDataFrame([("k", t, float(a + 0.01 * np.sin(t)), float(b + 0.01 * np.sin(t))) for t, a, b in flat], "key string, t double, a double, b double")
+    pts.coalesce(1).write.parquet(str(tmp_path / "in"))
+    rows = streamed(spark, analyzer.analyse(spark.readStream.schema(pts.schema).parquet(str(tmp_path / "in")), "key", ["a", "b"], "t"), "aged").orderBy("n").collect()
+    assert "CRITICAL effective_dimension" in rows[15]["alerts"] and not any("CRITICAL" in a and t["at"] > 1300 for t in rows for a in t["alerts"])
+
+
+def test_ingest_resumes_from_its_checkpoint(spark, tmp_path):
+    schema = "signal_id string, value double"
+    new = lambda k: spark.createDataFrame([(f"s{k}", float(k))], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    new(1)
+    spark.createDataFrame([], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    for k in (2, 3):
+        analyzer.ingest(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "state"))
+        new(k)
+    analyzer.ingest(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r["signal_id"] for r in got.collect()) == ["s1", "s2", "s3"] and "week" in got.columns
+
+
+def test_partitions_overlap_and_are_numbered_anew(spark):
+    a = spark.createDataFrame([("x", float(i), float(i)) for i in range(5)], "k string, s0 double, v double")
+    b = spark.createDataFrame([("x", float(i), 10.0 + i) for i in (7, 8)], "k string, s0 double, v double")
+    got = analyzer.overlapped(analyzer.reindexed(b, ["k"], "s0"), a, ["k"], "s0", 2)
+    assert sorted((r["s0"], r["v"]) for r in got.collect()) == [(-2.0, 3.0), (-1.0, 4.0), (0.0, 17.0), (1.0, 18.0)]
 
 
-@pytest.mark.parametrize("n, name", [(0, "warming"), (10, "instant"), (60, "geometry"), (150, "spectral"), (999, "full")])
+@pytest.mark.parametrize("n, name", [(0, "initializing"), (10, "computing_eigenstructure"), (60, "analyzing_dynamics"), (150, "computing_complexity"), (999, "full_analysis")])
 def test_stage(n, name):
     assert analyzer.stage(n) == name

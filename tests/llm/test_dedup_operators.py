@@ -84,13 +84,51 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(jaccard, "HOT", hot[0])
     monkeypatch.setattr(jaccard, "HOT_IN_TASK", hot[1])
     rows = families(hot[0])
-    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).drop("name", "part").collect()
     assert sorted(map(tuple, got), key=str) == brute_components(rows)
 
 
+def test_jaccard_join_tells_texts_of_one_id_apart(spark):
+    """Also where texts without a doc_id have near copies."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(5))
+    a, b, c = ([word() for _ in range(60)] for _ in range(3))
+    text = lambda w, k: " ".join([*w[:k], "other", *w[k + 1 :]])
+    rows = [(5, text(a, 0)), (5, text(b, 0)), (7, text(a, 59)), (8, text(b, 59)), (None, text(a, 1)), (None, text(c, 0)), (None, text(c, 59)), (9, text(c, 1))]
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    names = {hashlib.md5(t.encode()).hexdigest(): k for k, (_, t) in enumerate(rows)}
+    assert {names[r["name"]]: r["component_id"] for r in got} == {0: 5, 1: 5, 2: 5, 3: 5, 4: 5, 5: 9, 6: 9, 7: 9}
+    alone = jaccard.jaccard_join(spark.createDataFrame(rows[5:7], "doc_id long, text string")).collect()
+    assert [r["component_id"] for r in alone] == [None, None]
+
+
+def test_jaccard_join_of_large_groups_stays_small(spark, monkeypatch):
+    """Texts that share a passage but are not linked, and a large group of near copies: whole results, and no more pairs than a few a text."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    passage, base = [word() for _ in range(60)], [word() for _ in range(80)]
+    rows = [" ".join(passage + [word() for _ in range(r.randrange(15, 60))]) for _ in range(700)]
+    for _ in range(700):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 4])):
+            w[r.randrange(len(w))] = word()
+        rows.append(" ".join(w))
+    rows, told = list(enumerate(rows)), []
+    near = jaccard.near
+
+    def counted(pairs, nodes):
+        told.append(pairs.count())
+        return near(pairs, nodes)
+
+    monkeypatch.setattr(jaccard, "near", counted)
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).drop("name", "part").collect()
+    assert sorted(map(tuple, got), key=str) == brute_components(rows)
+    assert sum(told) < 30 * len(rows)
+
+
 def test_jaccard_join_on_hard_cases(spark, hard, none):
     rows = [(r["doc_id"], r["text"]) for r in hard.collect()]
-    got = jaccard.jaccard_join(hard).collect()
+    got = jaccard.jaccard_join(hard).drop("name", "part").collect()
     want = brute_components([x for x in rows if x[0] is not None])
     assert sorted((tuple(r) for r in got if r["doc_id"] is not None), key=str) == want
     assert sum(r["doc_id"] is None for r in got) == 2 and jaccard.jaccard_join(none).count() == 0
@@ -134,11 +172,12 @@ def columns(df):
     return sorted((tuple(r) for r in df.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=str)
 
 
-@pytest.mark.parametrize("hot", [(256, 24), (1, 1)])
+@pytest.mark.parametrize("hot", [255, 2])
 def test_substring_dedup_against_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(substrings, "HOT", hot[0])
-    monkeypatch.setattr(substrings, "HOT_IN_TASK", hot[1])
-    r = random.Random(hot[0])
+    """Also with every shared anchor split, and with several stretches."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "STRETCH_BYTES", 1 << 12)
+    r = random.Random(hot)
     text = lambda n: "".join(r.choice("abcdé ") for _ in range(n))
     shared = [text(n) for n in (49, 50, 51, 120, 700)] + ["ab" * 60, "z" * 90]
     rows = [(i, "".join(r.choice([text(r.choice([0, 3, 40])), r.choice(shared)]) for _ in range(r.randrange(6)))) for i in range(80)]

@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
 
 language: rows whose text the nearest-centroid classifier rejects go (no letter, or far from every language).
-near_duplicates: of every group of linked documents the one with the smallest doc_id stays.
+near_duplicates: of every group of linked documents one row stays, that with the smallest doc_id (a null one counts as the largest).
 repeated_substrings: bytes covered by strings of 50 bytes that start in an earlier document too are cut out.
 decontamination: documents that overlap a benchmark item go.
 packing: what is left is tokenised and packed into sequences.
@@ -21,15 +21,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A null doc_id is never the smallest and never dropped; rows that repeat the doc_id that stays stay as well."""
-    extra = jaccard.jaccard_join(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+    """Of rows that repeat the doc_id and text that stay, one stays; unlike texts under one doc_id are groups of their own.
+    Rows without a word are linked with nothing and stay."""
+    same = lambda a, b: a["__id"].eqNullSafe(b["__of"]) & (a["__name"] == b["__text"])
+    rows = jaccard.jaccard_join(docs).filter("part is not null").select("part", F.col("doc_id").alias("__of"), F.col("name").alias("__text"))
+    each = written(rows.groupBy("part", "__of", "__text").agg(F.count(F.lit(1)).alias("n")), "rows-of-groups")
+    stays = each.groupBy("part").agg(F.min(F.struct(F.col("__of").isNull().alias("none"), "__of", "__text")).alias("first")).select("part", "first")
+    here = each.join(stays, "part").withColumn("first", F.col("__of").eqNullSafe(F.col("first.__of")) & (F.col("__text") == F.col("first.__text")))
+    own = docs.select("*", F.col("doc_id").alias("__id"), jaccard.text_name().alias("__name"))
+    repeated = here.filter("first and n > 1").select("__of", "__text")
+    gone = here.filter("not first").select("__of", "__text").unionByName(repeated)
+    kept = own.join(gone, same(own, gone), "left_anti").unionByName(own.join(repeated, same(own, repeated), "left_semi").dropDuplicates(["__id", "__name"]))
+    return kept.select(docs.columns)
 
 
 def cut_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars follows the text that is left."""
     done = substrings.dedup(docs, texts=True).filter("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("name").alias("__name"), "kept").dropDuplicates(["__id", "__name"])
-    both = docs.join(done, docs["doc_id"].eqNullSafe(done["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == done["__name"]), "left")
+    both = docs.join(done, docs["doc_id"].eqNullSafe(done["__id"]) & (substrings.text_name() == done["__name"]), "left")
     both = both.withColumns({"n_chars": F.when(F.col("kept").isNotNull(), F.length("kept").cast("long")).otherwise(F.col("n_chars")), "text": F.coalesce("kept", "text")})
     return both.select(docs.columns)
 

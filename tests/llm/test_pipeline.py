@@ -29,3 +29,24 @@ def test_stages_on_hard_cases(spark, hard):
         docs = written(stage(spark, docs, SF), name)
         assert docs.columns == hard.columns
     assert corpus_pipeline.pack(spark, docs, SF).count() >= docs.count()
+
+
+def test_near_duplicates_go_by_row(spark):
+    """One row of each group stays: with repeated rows, texts without doc_id, and unlike texts under one doc_id."""
+    import random
+
+    r = random.Random(3)
+    a, b, c, d = ([f"w{r.randrange(10**6)}" for _ in range(50)] for _ in range(4))
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(a)), (5, near(a)), (5, " ".join(b)), (6, " ".join(c)), (6, " ".join(c)), (7, near(c)), (None, " ".join(d)), (None, near(d)), (8, None), (8, None), (None, ""), (9, "?")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, part string")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()), key=str)
+    left = [x for x in got if x != (None, " ".join(d)) and x != (None, near(d))]
+    assert left == sorted([(1, " ".join(a)), (5, " ".join(b)), (6, " ".join(c)), (8, None), (8, None), (None, ""), (9, "?")], key=str) and len(got) == len(left) + 1
+
+
+def test_stages_on_an_empty_table(spark, none):
+    docs = none
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, SF), name)
+    assert docs.count() == 0

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import engines as E
-from tidemark.operators import graph, interp, regimes, windows
+from tidemark.operators import graph, interp, kernels, regimes, windows
 from tidemark.sources import readers
 from tidemark.streaming import analyzer
 
@@ -31,9 +31,13 @@ def test_engines_get_their_declared_windows(spark):
 
 def test_geometry_of_a_line_of_signals(spark):
     v = windows.signal_vector(series(spark), names=("rms", "peak"))
-    g = windows.cohort_geometry(v, ["rms", "peak"]).toPandas()
+    e = kernels.eigendecomposition(v, ["rms", "peak"])
+    g = e.toPandas()
     assert (g["n_signals"] == 3).all() and (g["effective_dim"] < 1.2).all()
-    assert "effective_dim_d1" in windows.geometry_dynamics(windows.cohort_geometry(v, ["rms", "peak"])).columns
+    b = kernels.brittleness(e).toPandas().set_index("window_index").loc[g["window_index"]]
+    assert np.allclose(b["brittleness"], g["condition_number"] * g["energy_concentration"] / (g["total_variance"] / g["effective_dim"])) and set(b["brittleness_rank"]) <= set(range(1, len(g) + 1))
+    moved = kernels.central(e, ["cohort"], "window_index", ["effective_dim"]).toPandas().sort_values("window_index")
+    assert np.allclose(moved["effective_dim_velocity"], np.gradient(g.sort_values("window_index")["effective_dim"]))
 
 
 def test_ftle_uses_whole_segments_and_sums_them_up(spark):

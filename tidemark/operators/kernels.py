@@ -156,6 +156,13 @@ def collapse(df: DataFrame, keys: list[str], order: str, velocity: str, below: f
     return all_.join(runs, keys, "left").withColumn("collapsing", (F.col("share_below") >= share) | F.col("onset").isNotNull())
 
 
+def brittleness(eigen: DataFrame) -> DataFrame:
+    """Condition number by concentration over temperature (variance by effective dimension), and its rank in the cohort."""
+    t = F.when((F.col("effective_dim") > 0) & (F.col("total_variance") > 0), F.col("total_variance") / F.col("effective_dim"))
+    rows = eigen.withColumn("effective_temperature", t).withColumn("brittleness", F.try_divide(F.col("condition_number") * F.coalesce("energy_concentration", F.lit(1.0)), "effective_temperature"))
+    return rows.select("cohort", "window_index", "condition_number", "energy_concentration", "effective_temperature", "brittleness", F.rank().over(W.partitionBy("cohort").orderBy(F.col("brittleness").desc_nulls_last())).alias("brittleness_rank"))
+
+
 # --- signals ---------------------------------------------------------------------------------------------------------
 STABILITY = "cohort string, signal_id string, segment long, window_end long, amplitude_mean double, amplitude_std double, amplitude_cv double, frequency_mean double, frequency_std double, energy double, rms double, stability double"
 

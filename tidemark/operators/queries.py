@@ -9,7 +9,7 @@ from .. import store
 from ..plans import constants, dag, geometry, pairs, report_queries, report_state, reports, signals, summaries  # noqa: F401  the modules define the views
 from ..sources import readers
 from ..streaming import analyzer
-from . import graph, interp, regimes, windows
+from . import fleet, graph, interp, kernels, regimes, typology, windows
 
 GEOMETRY = ["rms", "peak", "roc_std", "trend_slope", "hurst_exponent", "spectral_entropy", "permutation_entropy"]
 GEOMETRY_ENGINES = ("rms", "peak", "rate_of_change", "trend", "hurst", "spectral", "complexity")
@@ -19,17 +19,21 @@ def signal_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.signal_vector(dag.run(spark, sf_dir, "obs"))
 
 
+def eigen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.eigendecomposition(windows.signal_vector(dag.run(spark, sf_dir, "obs"), names=GEOMETRY_ENGINES), GEOMETRY)
+
+
 def cohort_eigen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = windows.signal_vector(dag.run(spark, sf_dir, "obs"), names=GEOMETRY_ENGINES)
-    return windows.cohort_geometry(v, GEOMETRY)
+    return eigen(spark, sf_dir).select("*", *[F.col("eigenvalues")[i].alias(f"eigenvalue_{i}") for i in range(3)]).drop("eigenvalues", "columns", "loadings")
 
 
 def geometry_dynamics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.geometry_dynamics(cohort_eigen(spark, sf_dir))
+    moved = kernels.central(cohort_eigen(spark, sf_dir), ["cohort"], "window_index", ["effective_dim", "eigenvalue_0", "condition_number", "total_variance"])
+    return moved.join(kernels.collapse(moved, ["cohort"], "window_index", "effective_dim_velocity"), "cohort")
 
 
 def brittleness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.ranked(cohort_eigen(spark, sf_dir))
+    return kernels.brittleness(cohort_eigen(spark, sf_dir))
 
 
 def ftle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +45,17 @@ def granger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rolling_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.rolling_spearman(dag.run(spark, sf_dir, "pair_points"))
+    return windows.rolling_spearman(dag.run(spark, sf_dir, "pair_points")).withColumn("spearman", F.round("spearman", 6))
+
+
+SPEARMAN_SQL = f"""
+with p as ({dag.text('pair_points', 'duckdb')}), w as (
+  select cohort, signal_a, signal_b, s0, list(va) over last_rows as xs, list(vb) over last_rows as ys, count(*) over last_rows as n from p
+  window last_rows as (partition by cohort, signal_a, signal_b order by s0 rows between 19 preceding and current row)),
+v as (select cohort, signal_a, signal_b, s0, unnest(xs) as x, unnest(ys) as y from w where n = 20 and len(xs) = 20),
+k as (select *, rank() over (partition by cohort, signal_a, signal_b, s0 order by x) + (count(*) over (partition by cohort, signal_a, signal_b, s0, x) - 1) / 2.0 as rx,
+             rank() over (partition by cohort, signal_a, signal_b, s0 order by y) + (count(*) over (partition by cohort, signal_a, signal_b, s0, y) - 1) / 2.0 as ry from v)
+select cohort, signal_a, signal_b, s0, round(case when var_pop(rx) * var_pop(ry) > 0 then covar_pop(rx, ry) / sqrt(var_pop(rx) * var_pop(ry)) end, 6) as spearman from k group by 1, 2, 3, 4"""
 
 
 def coupling_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,11 +64,61 @@ def coupling_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(e.select(F.concat_ws("/", "cohort", "source").alias("a"), F.concat_ws("/", "cohort", "target").alias("b")))
 
 
+COMPONENTS_SQL = f"""
+with recursive n as ({dag.text('v_coupling_network', 'duckdb')}),
+e as (select cohort || '/' || source as a, cohort || '/' || target as b from n where abs_weight > 0.3), both_ways as (select a, b from e union select b, a from e),
+reach(id, other) as (select a, a from both_ways union select r.id, w.b from reach r join both_ways w on r.other = w.a)
+select id, min(other) as component from reach group by id"""
+
+
 def operating_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = dag.run(spark, sf_dir, "obs_lines_wide")
     return regimes.detect(w, ["l_quantity", "l_discount"]).groupBy("cohort", "regime_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_quantity"), 4).alias("mean_quantity"))
 
 
+def rounded_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = regimes.identify(dag.run(spark, sf_dir, "obs_lines_wide"), ["l_discount", "l_tax"])
+    return w.groupBy("cohort", "regime").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_quantity"), 6).alias("mean_quantity"))
+
+
+ROUNDED_SQL = f"""
+with w as ({dag.text('obs_lines_wide', 'duckdb')})
+select cohort, coalesce(cast(cast(round(l_discount, 2) as double) as varchar), 'none') || '|' || coalesce(cast(cast(round(l_tax, 2) as double) as varchar), 'none') as regime, count(*) as n, round(avg(l_quantity), 6) as mean_quantity from w group by 1, 2"""
+
+
+def cohort_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fleet.cohort_discovery(dag.run(spark, sf_dir, "obs")).withColumn("mean_abs_corr", F.round("mean_abs_corr", 8))
+
+
+DISCOVERY_SQL = f"""
+with o as (select signal_id, s0, cohort, avg(value) as v from ({dag.text('obs', 'duckdb')}) x where value is not null group by 1, 2, 3),
+p as (select a.signal_id, a.cohort as x, b.cohort as y, case when var_pop(a.v) * var_pop(b.v) > 0 then abs(covar_pop(a.v, b.v) / sqrt(var_pop(a.v) * var_pop(b.v))) end as r
+      from o a join o b on a.signal_id = b.signal_id and a.s0 = b.s0 and a.cohort < b.cohort group by 1, 2, 3 having count(*) >= 3),
+m as (select signal_id, avg(r) as r, count(*) as n from p group by 1), f as (select signal_id, max(s) as top from (select signal_id, cohort, stddev_pop(v) as s from o group by 1, 2) z group by 1)
+select f.signal_id, round(m.r, 8) as mean_abs_corr, coalesce(m.n, 0) as n_pairs,
+       case when f.top < 1e-10 or m.r >= 0.99 then 'CONSTANT' when m.r >= 0.70 then 'SYSTEM' when m.r < 0.50 then 'COMPONENT' when m.r is null then 'UNKNOWN' else 'MIXED' end as kind from f left join m on f.signal_id = m.signal_id"""
+
+
+def early_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fleet.early_fingerprint(dag.run(spark, sf_dir, "obs"))
+    return f.select("cohort", "signal_id", "n_early", *[F.round(c, 6).alias(c) for c in f.columns[3:]])
+
+
+FINGERPRINT_SQL = f"""
+with o as (select cohort, signal_id, s0, value, row_number() over w as k, value - lag(value) over w as step, count(*) over (partition by cohort, signal_id) as n from ({dag.text('obs', 'duckdb')}) x where value is not null window w as (partition by cohort, signal_id order by s0))
+select cohort, signal_id, count(*) as n_early, round(avg(value), 6) as early_mean, round(stddev_samp(value), 6) as early_std, round(covar_pop(k, value) / nullif(var_pop(k), 0), 6) as early_slope, round(stddev_samp(step), 6) as early_volatility, round(greatest(max(value) - avg(value), avg(value) - min(value)), 6) as early_extent
+from o where k <= greatest(2, ceil(n * 0.2)) group by 1, 2"""
+
+
+def early_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fleet.early_warning(fleet.early_fingerprint(dag.run(spark, sf_dir, "obs")))
+
+
+def signal_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = typology.windows(typology.overlapping(typology.corrected(typology.classified(typology.sparse_kind(typology.measures(dag.run(spark, sf_dir, "obs")))))))
+    return m.withColumn("secondary", F.concat_ws(",", "secondary"))
+
+
 def regime_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dag.run(spark, sf_dir, "obs").withColumn("regime_id", F.floor(F.col("s0") / 100).cast("int"))
     return regimes.normalise(rows).select("cohort", "signal_id", "s0", "regime_id", F.round("z", 6).alias("z"))
@@ -108,5 +172,5 @@ with w as ({dag.text('obs_lines_wide', 'duckdb')})
 select cohort, s0, 'l_quantity' as signal_id, l_quantity as value from w union all select cohort, s0, 'l_extendedprice', l_extendedprice from w
 union all select cohort, s0, 'l_discount', l_discount from w union all select cohort, s0, 'l_tax', l_tax from w"""
 
-QUERIES = {f.__name__: f for f in (signal_vector, cohort_eigen, geometry_dynamics, brittleness, ftle, granger, rolling_spearman, coupling_components, operating_regimes, regime_zscores, asof_purchase, hourly_windows, user_sessions, lines_unpivoted)}
-ORACLE = {"regime_zscores": ZSCORES_SQL, "asof_purchase": ASOF_SQL, "hourly_windows": HOURLY_SQL, "user_sessions": SESSIONS_SQL, "lines_unpivoted": UNPIVOT_SQL}
+QUERIES = {f.__name__: f for f in (signal_vector, cohort_eigen, geometry_dynamics, brittleness, ftle, granger, rolling_spearman, coupling_components, operating_regimes, rounded_regimes, cohort_discovery, early_fingerprint, early_warning, signal_classes, regime_zscores, asof_purchase, hourly_windows, user_sessions, lines_unpivoted)}
+ORACLE = {"regime_zscores": ZSCORES_SQL, "asof_purchase": ASOF_SQL, "hourly_windows": HOURLY_SQL, "user_sessions": SESSIONS_SQL, "lines_unpivoted": UNPIVOT_SQL, "rolling_spearman": SPEARMAN_SQL, "coupling_components": COMPONENTS_SQL, "rounded_regimes": ROUNDED_SQL, "cohort_discovery": DISCOVERY_SQL, "early_fingerprint": FINGERPRINT_SQL}

@@ -36,8 +36,9 @@ from (select distinct cohort, s0 from @obs) o join (select cohort, max(s0) as to
 view("v_base", """
 select o.cohort, o.signal_id, o.s0, o.value, s.unit as value_unit, cast(null as #string) as index_dimension, cast(null as #string) as signal_class from @obs o left join @signals s on o.signal_id = s.signal_id""")
 view("observations", """
--- defaults for what is missing; a row without a signal gets one of its own
-select coalesce(cohort, 'default') as cohort, coalesce(signal_id, concat('signal_', cast(row_number() over (order by cohort, s0, value) as #string))) as signal_id, s0, value, coalesce(value_unit, 'unknown') as unit from @raw_upload""")
+-- defaults for what is missing; a row without a signal gets one of its own, and only such rows are numbered, by cohort
+select coalesce(cohort, 'default') as cohort, signal_id, s0, value, coalesce(value_unit, 'unknown') as unit from @raw_upload where signal_id is not null
+union all select coalesce(cohort, 'default') as cohort, 'signal_' || cast(row_number() over (partition by cohort order by s0, value) as #string) as signal_id, s0, value, coalesce(value_unit, 'unknown') as unit from @raw_upload where signal_id is null""")
 view("raw_upload", "select cohort, signal_id, s0, value, value_unit from @v_base")
 view("v_schema_validation", """
 select count(*) as n_rows, count(distinct cohort) as n_cohorts, count(distinct signal_id) as n_signals, min(s0) as s0_min, max(s0) as s0_max,

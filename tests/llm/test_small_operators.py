@@ -376,6 +376,14 @@ def test_sharding(spark, hard, none):
         by.setdefault(r["shard"], []).append(r["slot"])
     assert len(rows) == hard.count() and all(sorted(s) == list(range(len(s))) for s in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert sharding.shard(none, "doc_id", 5).count() == 0
+
+
+def test_sharding_keeps_columns_of_any_name(spark):
+    names = ["row_number", "__part", "__at", "__AT_", "__first", "__spread", "__number"]
+    df = spark.range(20).select(F.col("id").alias("doc_id"), *[(F.col("id") * (i + 2)).alias(c) for i, c in enumerate(names)], F.lit(-1).alias("Shard"))
+    got = sharding.shard(df, "doc_id", 3)
+    assert got.columns == ["doc_id", *names, "shard", "slot"] and {(r["shard"], r["slot"]) for r in got.collect()} == {(p % 3, p // 3) for p in range(20)}
+    assert all(r[c] == r["doc_id"] * (i + 2) for r in got.collect() for i, c in enumerate(names))
     docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     held = sharding.op10_feistel_sharding(spark, SF).collect()
     assert {(r["doc_id"], r["size"], r["text_crc32"], r["law"], r["grown_shard"]) for r in held} == {(i, len(t) + 16, zlib.crc32(t), "rows", None) for i, t in docs.items()}

@@ -6,8 +6,8 @@ slot = p div shards. Shard sizes differ by one row at most, slots are gapless, a
 row number without looking at the others. The network is a bijection, so an inverse exists as well.
 
 Nulls: a null key sorts first. Equal keys are ordered by the remaining columns given, then arbitrarily; repeated
-rows each get a number of their own. An empty table gives an empty result. Extra columns are carried; the columns
-`shard` and `slot` are replaced.
+rows each get a number of their own. An empty table gives an empty result. Extra columns are carried, whatever their
+names; the columns `shard` and `slot` are replaced.
 """
 
 from __future__ import annotations
@@ -54,37 +54,47 @@ def permute(x: np.ndarray, n: int, seed: int = 0, inverse: bool = False) -> np.n
     return out.astype(np.int64)
 
 
-def numbered(df: DataFrame, key: str, ties: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """df with `row_number` 0..N-1 in the order of key and ties, and N. Only per-partition counts meet in one place."""
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, key: str, ties: tuple[str, ...] = (), name: str = "row_number") -> tuple[DataFrame, int]:
+    """df with its row's number 0..N-1 in the order of key and ties, and N. Only per-partition counts meet in one place."""
     spark = df.sparkSession
-    spread = "__spread"  # deals even fully equal rows to several partitions
+    spread, part, at = (free(df, f"__{c}") for c in ("spread", "part", "at"))  # the first deals even fully equal rows to several partitions
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     flat = df.withColumn(spread, F.monotonically_increasing_id() % 1024)
     cols = [key, *ties, spread]
     sorted_ = flat.repartitionByRange(parts, *cols).sortWithinPartitions(*cols).drop(spread)
-    at = F.monotonically_increasing_id()
-    held = written(sorted_.withColumns({"__part": F.shiftright(at, 33), "__at": at.bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
-    counts = held.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).collect()  # one row per partition
+    here = F.monotonically_increasing_id()
+    held = written(sorted_.withColumns({part: F.shiftright(here, 33), at: here.bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    counts = held.groupBy(part).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per partition
     base, at_row = {}, 0
-    for r in sorted(counts, key=lambda r: r["__part"]):
-        base[r["__part"]] = at_row
-        at_row += r["__n"]
-    offsets = spark.createDataFrame([*base.items()], "__part long, __base long")
-    return held.join(F.broadcast(offsets), "__part").withColumn("row_number", F.col("__base") + F.col("__at")).drop("__part", "__at", "__base"), at_row
+    for r in sorted(counts):
+        base[r[0]] = at_row
+        at_row += r[1]
+    first = free(df, "__first")
+    offsets = spark.createDataFrame([*base.items()], f"`{part}` long, `{first}` long")
+    return held.join(F.broadcast(offsets), part).withColumn(name, F.col(first) + F.col(at)).drop(part, at, first), at_row
 
 
 def shard(df: DataFrame, key: str, shards: int, ties: tuple[str, ...] = (), seed: int = 0) -> DataFrame:
-    """df with `row_number`, `shard` and `slot`."""
-    df = df.drop("shard", "slot", "row_number")
-    rows, n = numbered(df, key, ties)
-    schema = T.StructType([*rows.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    """df with `shard` and `slot`."""
+    df = df.drop("shard", "slot")
+    number = free(df, "__number")
+    rows, n = numbered(df, key, ties, number)
+    schema = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
     def place(batches):
         for b in batches:
-            p = permute(b.column(b.schema.get_field_index("row_number")).to_numpy(zero_copy_only=False), n, seed)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((p % shards).astype(np.int32)), pa.array(p // shards)], names=[*b.schema.names, "shard", "slot"])
+            p = permute(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False), n, seed)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array((p % shards).astype(np.int32)), pa.array(p // shards)], names=[*b.schema.names[:-1], "shard", "slot"])
 
-    return rows.mapInArrow(place, schema)
+    return rows.select(*df.columns, number).mapInArrow(place, schema)
 
 
 SHARDS = 40

@@ -111,7 +111,21 @@ from o where k <= greatest(2, ceil(n * 0.2)) group by 1, 2"""
 
 
 def early_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fleet.early_warning(fleet.early_fingerprint(dag.run(spark, sf_dir, "obs")))
+    w = fleet.early_warning(fleet.early_fingerprint(dag.run(spark, sf_dir, "obs")))
+    return w.withColumns({c: F.round(c, 6) for c in ("furthest_z", "risk")})
+
+
+WARNING_SQL = f"""
+with o as (select cohort, signal_id, s0, value, row_number() over w as k, value - lag(value) over w as step, count(*) over (partition by cohort, signal_id) as n from ({dag.text('obs', 'duckdb')}) x where value is not null window w as (partition by cohort, signal_id order by s0)),
+f as (select cohort, signal_id, avg(value) as early_mean, stddev_samp(value) as early_std, covar_pop(k, value) / nullif(var_pop(k), 0) as early_slope, stddev_samp(step) as early_volatility, greatest(max(value) - avg(value), avg(value) - min(value)) as early_extent
+      from o where k <= greatest(2, ceil(n * 0.2)) group by 1, 2),
+l as (unpivot f on early_mean, early_std, early_slope, early_volatility, early_extent into name measure value x),
+q as (select signal_id, measure, quantile_cont(x, 0.5) as middle, (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.349 as wide from l group by 1, 2),
+z as (select l.cohort, l.signal_id, l.measure, abs((l.x - q.middle) / q.wide) as z from l join q on l.signal_id = q.signal_id and l.measure = q.measure where q.wide <> 0),
+t as (select *, row_number() over (partition by cohort order by z desc, signal_id desc, measure desc) as place from z),
+c as (select cohort, count(*) as n_measures, cast(sum(case when z > 3 then 1 else 0 end) as bigint) as n_outlying, max(z) as furthest_z, max(case when place = 1 then signal_id || '.' || measure end) as furthest from t group by 1),
+r as (select *, 1 - exp(-(5.0 * n_outlying / n_measures + greatest(0, furthest_z - 3) / 10)) as risk from c)
+select cohort, n_measures, n_outlying, round(furthest_z, 6) as furthest_z, furthest, round(risk, 6) as risk, case when risk >= 0.75 then 'CRITICAL' when risk >= 0.5 then 'HIGH' when risk >= 0.25 then 'MEDIUM' else 'LOW' end as level from r"""
 
 
 def signal_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,4 +187,4 @@ select cohort, s0, 'l_quantity' as signal_id, l_quantity as value from w union a
 union all select cohort, s0, 'l_discount', l_discount from w union all select cohort, s0, 'l_tax', l_tax from w"""
 
 QUERIES = {f.__name__: f for f in (signal_vector, cohort_eigen, geometry_dynamics, brittleness, ftle, granger, rolling_spearman, coupling_components, operating_regimes, rounded_regimes, cohort_discovery, early_fingerprint, early_warning, signal_classes, regime_zscores, asof_purchase, hourly_windows, user_sessions, lines_unpivoted)}
-ORACLE = {"regime_zscores": ZSCORES_SQL, "asof_purchase": ASOF_SQL, "hourly_windows": HOURLY_SQL, "user_sessions": SESSIONS_SQL, "lines_unpivoted": UNPIVOT_SQL, "rolling_spearman": SPEARMAN_SQL, "coupling_components": COMPONENTS_SQL, "rounded_regimes": ROUNDED_SQL, "cohort_discovery": DISCOVERY_SQL, "early_fingerprint": FINGERPRINT_SQL}
+ORACLE = {"regime_zscores": ZSCORES_SQL, "asof_purchase": ASOF_SQL, "hourly_windows": HOURLY_SQL, "user_sessions": SESSIONS_SQL, "lines_unpivoted": UNPIVOT_SQL, "rolling_spearman": SPEARMAN_SQL, "coupling_components": COMPONENTS_SQL, "rounded_regimes": ROUNDED_SQL, "cohort_discovery": DISCOVERY_SQL, "early_fingerprint": FINGERPRINT_SQL, "early_warning": WARNING_SQL}

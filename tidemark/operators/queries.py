@@ -9,7 +9,7 @@ from .. import store
 from ..plans import constants, dag, geometry, pairs, report_queries, report_state, reports, signals, summaries  # noqa: F401  the modules define the views
 from ..sources import readers
 from ..streaming import analyzer
-from . import fleet, graph, interp, kernels, regimes, typology, windows
+from . import fleet, graph, interp, kernels, regimes, relational, typology, windows
 
 GEOMETRY = ["rms", "peak", "roc_std", "trend_slope", "hurst_exponent", "spectral_entropy", "permutation_entropy"]
 GEOMETRY_ENGINES = ("rms", "peak", "rate_of_change", "trend", "hurst", "spectral", "complexity")
@@ -186,5 +186,68 @@ with w as ({dag.text('obs_lines_wide', 'duckdb')})
 select cohort, s0, 'l_quantity' as signal_id, l_quantity as value from w union all select cohort, s0, 'l_extendedprice', l_extendedprice from w
 union all select cohort, s0, 'l_discount', l_discount from w union all select cohort, s0, 'l_tax', l_tax from w"""
 
-QUERIES = {f.__name__: f for f in (signal_vector, cohort_eigen, geometry_dynamics, brittleness, ftle, granger, rolling_spearman, coupling_components, operating_regimes, rounded_regimes, cohort_discovery, early_fingerprint, early_warning, signal_classes, regime_zscores, asof_purchase, hourly_windows, user_sessions, lines_unpivoted)}
-ORACLE = {"regime_zscores": ZSCORES_SQL, "asof_purchase": ASOF_SQL, "hourly_windows": HOURLY_SQL, "user_sessions": SESSIONS_SQL, "lines_unpivoted": UNPIVOT_SQL, "rolling_spearman": SPEARMAN_SQL, "coupling_components": COMPONENTS_SQL, "rounded_regimes": ROUNDED_SQL, "cohort_discovery": DISCOVERY_SQL, "early_fingerprint": FINGERPRINT_SQL, "early_warning": WARNING_SQL}
+
+
+def reaxis_click(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.reaxis(dag.run(spark, sf_dir, "obs").filter("value is not null"), "click")
+
+
+REAXIS_SQL = f"""
+with o as (select cohort, signal_id, s0, value from ({dag.text('obs', 'duckdb')}) x where value is not null),
+a as (select cohort, s0, value + (row_number() over (partition by cohort, value order by s0) - 1) / (1.0 * count(*) over (partition by cohort, value)) as axis from o where signal_id = 'click')
+select o.cohort, o.signal_id, a.axis as s0, o.value from o join a on o.cohort = a.cohort and o.s0 = a.s0 where o.signal_id <> 'click' union all select cohort, 'time', axis, cast(s0 as double) from a"""
+
+
+def quantity_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.mode(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_linestatus", "l_returnflag"], "l_quantity")
+
+
+MODES_SQL = """
+with n as (select l_linestatus, l_returnflag, l_quantity, count(*) as n from lineitem where l_quantity is not null group by 1, 2, 3)
+select l_linestatus, l_returnflag, l_quantity as mode, n as mode_count from n qualify row_number() over (partition by l_linestatus, l_returnflag order by n desc, l_quantity) = 1"""
+
+
+def first_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = relational.first_values(spark.read.parquet(f"{sf_dir}/orders.parquet"), ["o_custkey"], "o_orderdate", "o_orderkey", 5)
+    return o.select("o_custkey", F.array_join(F.transform("first_values", lambda x: x.cast("string")), ",").alias("first_orders"))
+
+
+FIRST_ORDERS_SQL = """
+select o_custkey, string_agg(cast(o_orderkey as varchar), ',' order by k) as first_orders
+from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as k from orders) x where k <= 5 group by 1"""
+
+
+def last_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.tail(dag.run(spark, sf_dir, "obs"), ["cohort", "signal_id"], "s0", 10).select("cohort", "signal_id", "s0", "value")
+
+
+LAST_POINTS_SQL = f"select cohort, signal_id, s0, value from ({dag.text('obs', 'duckdb')}) x qualify row_number() over (partition by cohort, signal_id order by s0 desc) <= 10"
+
+
+def distinct_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").agg(F.sum_distinct("l_quantity").cast("double").alias("distinct_quantity"), F.count(F.lit(1)).alias("n"))
+
+
+DISTINCT_SQL = "select l_returnflag, cast(sum(distinct l_quantity) as double) as distinct_quantity, count(*) as n from lineitem group by 1"
+
+
+def negative_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_quantity < 0").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n")).select(F.col("l_returnflag").alias("finding"), "n")
+    return relational.or_default(found, finding="none", n=0)
+
+
+FINDINGS_SQL = """
+with f as (select l_returnflag as finding, count(*) as n from lineitem where l_quantity < 0 group by 1)
+select finding, n from f union all select 'none', 0 where not exists (select 1 from f)"""
+
+
+def nations_any_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, c = spark.read.parquet(f"{sf_dir}/nation.parquet"), spark.read.parquet(f"{sf_dir}/customer.parquet")
+    named = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select("c_custkey", F.lower("n_name").alias("n_name"))
+    return relational.lookup(named, n.select("n_name", "n_regionkey"), "n_name").groupBy("n_name", "n_regionkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+NATIONS_SQL = "select lower(n_name) as n_name, n_regionkey, count(*) as n from customer join nation on c_nationkey = n_nationkey group by 1, 2"
+
+QUERIES = {f.__name__: f for f in (signal_vector, cohort_eigen, geometry_dynamics, brittleness, ftle, granger, rolling_spearman, coupling_components, operating_regimes, rounded_regimes, cohort_discovery, early_fingerprint, early_warning, signal_classes, reaxis_click, quantity_modes, first_orders, last_points, distinct_totals, negative_findings, nations_any_case, regime_zscores, asof_purchase, hourly_windows, user_sessions, lines_unpivoted)}
+ORACLE = {"regime_zscores": ZSCORES_SQL, "asof_purchase": ASOF_SQL, "hourly_windows": HOURLY_SQL, "user_sessions": SESSIONS_SQL, "lines_unpivoted": UNPIVOT_SQL, "rolling_spearman": SPEARMAN_SQL, "coupling_components": COMPONENTS_SQL, "rounded_regimes": ROUNDED_SQL, "cohort_discovery": DISCOVERY_SQL, "early_fingerprint": FINGERPRINT_SQL, "early_warning": WARNING_SQL, "reaxis_click": REAXIS_SQL, "quantity_modes": MODES_SQL, "first_orders": FIRST_ORDERS_SQL, "last_points": LAST_POINTS_SQL, "distinct_totals": DISTINCT_SQL, "negative_findings": FINDINGS_SQL, "nations_any_case": NATIONS_SQL}

@@ -31,6 +31,19 @@ def test_rotation_spans_are_what_the_speaker_says(spark):
     assert chat.rotate(turns(spark, rows).limit(0)).count() == 0
 
 
+def test_rotation_of_very_long_texts_and_many_parts(spark):
+    rows = [(9, k, f"p{k % 3}", "é" * 300_000 if k in (5, 170) else f"t{k}") for k in range(200)]
+    got = {(r["perspective"], r["part"]): r for r in chat.rotate(turns(spark, rows), part_turns=8).collect()}
+    assert len(got) == 3 * 25
+    for p in ("p0", "p1", "p2"):
+        at = 0
+        for part in range(25):
+            r = got[p, part]
+            said = [t for _, k, who, t in rows if k // 8 == part and who == p]
+            assert r["start_char"] == at and [r["text"][m["from"] : m["to"]] for m in r["mask"]] == [t + "<|end|>\n" for t in said]
+            at += len(r["text"])
+
+
 def test_rotation_matches_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view conversations as select * from '{SF}/conversations.parquet'")

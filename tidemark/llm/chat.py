@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ._common import table
 
 PART_TURNS = 64
+END = "<|end|>\n"
 #: Parts that one window sums; sums of these blocks are summed again.
 BLOCK_PARTS = 4096
 
@@ -28,56 +29,56 @@ def _safe(c: Column) -> Column:
     return F.replace(c, F.lit("<|"), F.lit("<\\|"))
 
 
+def _head(role: Column, own: Column, system: str) -> Column:
+    return F.when(role == system, F.lit("<|system|>\n")).when(own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), role, F.lit("|>\n")))
+
+
+def _starts(turns: DataFrame, system: str) -> DataFrame:
+    """(k, part, perspective, start_char) from lengths alone: a part is as long for everyone, but for the heads of the speaker's own turns."""
+    role, none, every = F.col("role"), F.lit(False), F.lit(True)
+    size = F.length(_head(role, none, system)) + F.length("text") + F.length(F.lit(END))
+    spoken = turns.groupBy("k", "part", "role").agg(F.sum(size.cast("long")).alias("chars"), F.count(F.lit(1)).alias("n"))
+    people = spoken.filter(role != system).select("k", role.alias("perspective")).distinct()
+    whole = spoken.groupBy("k", "part").agg(F.sum("chars").alias("chars")).join(people, "k").select("k", "part", "perspective", "chars")
+    less = spoken.filter(role != system).select("k", "part", role.alias("perspective"), (F.col("n") * (F.length(_head(role, every, system)) - F.length(_head(role, none, system)))).alias("chars"))
+    each = whole.unionByName(less).groupBy("k", "perspective", "part").agg(F.sum("chars").alias("chars")).withColumn("block", F.floor(F.col("part") / BLOCK_PARTS))
+    # two-level prefix sums: a window holds the parts of one block, another the sums of the blocks
+    key = ["k", "perspective"]
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = each.groupBy(*key, "block").agg(F.sum("chars").alias("block_chars")).select(*key, "block", before("block_chars", W.partitionBy(*key).orderBy("block")).alias("block_start"))
+    within = each.select(*key, "block", "part", before("chars", W.partitionBy(*key, "block").orderBy("part")).alias("within"))
+    return within.join(sums, [*key, "block"]).select("k", "part", "perspective", (F.col("block_start") + F.col("within")).alias("start_char"))
+
+
 def rotate(df: DataFrame, system: str = "system", part_turns: int = PART_TURNS) -> DataFrame:
-    """Rows (conv_id, perspective, part, n_turns, start_char, text, mask); mask has [from, to) within the part's text."""
+    """Rows (conv_id, perspective, part, n_turns, start_char, text, mask); mask has [from, to) within the part's text.
+
+    Texts are shuffled once, by part, and rendered last; where parts start is told before from rows without text."""
     turns = df.select(
+        F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("k"),
         "conv_id",
         F.col("turn").cast("long").alias("turn"),
         _safe(F.coalesce("role", F.lit("unknown"))).alias("role"),
         _safe(F.coalesce("text", F.lit(""))).alias("text"),
     ).withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-(2**62))).cast("long"))
-    people = turns.filter(F.col("role") != system).select("conv_id", F.col("role").alias("perspective")).distinct()
-    parts = turns.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("said"))
-    both = parts.join(people, parts["conv_id"].eqNullSafe(people["conv_id"])).drop(people["conv_id"])
-
-    def head(t: Column) -> Column:
-        own = t["role"] == F.col("perspective")
-        return (
-            F.when(t["role"] == system, F.lit("<|system|>\n"))
-            .when(own, F.lit("<|assistant|>\n"))
-            .otherwise(F.concat(F.lit("<|user name="), t["role"], F.lit("|>\n")))
-        )
+    parts = turns.groupBy("k", "part").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("said"))
+    both = parts.join(_starts(turns, system), ["k", "part"])
 
     # one struct a turn: what precedes the speech, the speech with its end mark, whether it is trained on
-    seg = F.transform("said", lambda t: F.struct(head(t).alias("h"), F.concat(t["text"], F.lit("<|end|>\n")).alias("b"), (t["role"] == F.col("perspective")).alias("own")))
+    own = lambda t: t["role"] == F.col("perspective")
+    seg = F.transform("said", lambda t: F.struct(_head(t["role"], own(t), system).alias("h"), F.concat(t["text"], F.lit(END)).alias("b"), own(t).alias("own")))
     out = both.withColumn("seg", seg).drop("said")
     out = out.withColumn("text", F.array_join(F.transform("seg", lambda s: F.concat(s["h"], s["b"])), ""))
     empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<from:bigint,to:bigint>>").alias("mask"))
-    walked = F.aggregate(
-        "seg",
-        empty,
-        lambda acc, s: F.struct(
-            (acc["at"] + F.length(s["h"]) + F.length(s["b"])).alias("at"),
-            F.when(
-                s["own"],
-                F.concat(acc["mask"], F.array(F.struct((acc["at"] + F.length(s["h"])).alias("from"), (acc["at"] + F.length(s["h"]) + F.length(s["b"])).alias("to")))),
-            )
-            .otherwise(acc["mask"])
-            .alias("mask"),
-        ),
-        lambda acc: acc["mask"],
-    )
-    out = out.withColumns({"mask": walked, "n_turns": F.size("seg").cast("long"), "chars": F.length("text").cast("long")}).drop("seg")
-    # two-level prefix sums: a window holds the parts of one block, another the sums of the blocks
-    out = out.withColumn("block", F.floor(F.col("part") / BLOCK_PARTS))
-    key = ["conv_id", "perspective"]
-    sums = out.groupBy(*key, "block").agg(F.sum("chars").alias("block_chars"))
-    before = F.coalesce(F.sum("block_chars").over(W.partitionBy(*key).orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select(F.col("conv_id").alias("c"), F.col("perspective").alias("p"), F.col("block").alias("b"), before.alias("block_start"))
-    within = F.coalesce(F.sum("chars").over(W.partitionBy(*key, "block").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    out = out.withColumn("within", within)
-    out = out.join(sums, out["conv_id"].eqNullSafe(sums["c"]) & (out["perspective"] == sums["p"]) & (out["block"] == sums["b"]))
-    return out.select("conv_id", "perspective", "part", "n_turns", (F.col("block_start") + F.col("within")).alias("start_char"), "text", "mask")
+
+    def step(acc: Column, s: Column) -> Column:
+        speech = acc["at"] + F.length(s["h"])
+        end = speech + F.length(s["b"])
+        mask = F.when(s["own"], F.concat(acc["mask"], F.array(F.struct(speech.alias("from"), end.alias("to"))))).otherwise(acc["mask"])
+        return F.struct(end.alias("at"), mask.alias("mask"))
+
+    mask = F.aggregate("seg", empty, step, lambda acc: acc["mask"])
+    return out.select("conv_id", "perspective", "part", F.size("seg").cast("long").alias("n_turns"), "start_char", "text", mask.alias("mask"))
 
 
 def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,20 @@ def test_ftle_uses_whole_segments_and_sums_them_up(spark):
     assert np.allclose([(r["ftle_mean"], r["ftle_std"]) for r in got], (np.mean(want), np.std(want, ddof=1)))
 
 
+def test_ftle_embeds_by_itself_and_rolls(spark):
+    y = [0.3]
+    for _ in range(899):
+        y.append(3.99 * y[-1] * (1 - y[-1]))
+    y = np.array(y)
+    obs = spark.createDataFrame([("a", "x", float(i), float(v)) for i, v in enumerate(y)], readers.OBSERVATIONS)
+    told = windows.ftle(obs, dim=None, delay=None).first()
+    assert told["dim"] == max(2, E.embedding(y, int(E.mi_delay(y)))) and told["delay"] == E.mi_delay(y) and abs(told["ftle"] - E.rosenstein(y, told["dim"], told["delay"])[0]) < 1e-12
+    assert abs(windows.ftle(obs, backward=True).first()["ftle"] - E.rosenstein(y[::-1])[0]) < 1e-12
+    got = windows.rolling_ftle(obs, window=100, stride=40, segment=250).toPandas().sort_values("window_index")
+    want = [E.rosenstein(y[40 * i : 40 * i + 100])[0] for i in range(21)]
+    assert list(got["window_index"]) == list(range(21)) and np.allclose(got["ftle"], want) and np.allclose(got["ftle_velocity"].iloc[1:], np.diff(want)) and np.allclose(got["ftle_acceleration"].iloc[2:], np.diff(want, 2))
+
+
 def test_granger_finds_the_driver(spark):
     r = np.random.default_rng(0)
     x = r.normal(size=500)

@@ -1,16 +1,14 @@
-"""Shared helpers: shared-folder materialisation, Arrow text access, hashing and labelled-fold rules."""
+"""Shared helpers: Arrow text access, hashing and labelled-fold rules."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.store import shared_dir, written  # noqa: F401  the operators take them from here
+
 #: Bytes of text that one vectorised step handles at a time; bounds the temporaries of a Python worker.
 STEP_BYTES = 1 << 20
 
@@ -19,36 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset, a temporary one if all runs on this machine, else an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-#: Deletes the shuffle files of an execution at its end.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut, the data survive a lost executor, and the shuffle files that made it go."""
-    spark, schema = df.sparkSession, df.schema
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(schema).parquet(path)
-    out.written_to = path
-    return out
-
-
 def erase(*tables: DataFrame) -> None:
     """Deletes tables of written() whose last reader is done."""
     for df in tables:

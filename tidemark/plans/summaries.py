@@ -37,13 +37,13 @@ select signal_id, {json(('signal_class', text('signal_class')), ('compute', json
 view("signal_analysis", f"""
 -- over all cohorts, as charts and dashboards show signals
 select t.signal_id, {first_of(('avg(a.autocorr_lag1) > 0.5', 'persistent'), ('avg(a.autocorr_lag1) < -0.2', 'anti-persistent'), other='random-walk')} as persistence_class, min(e.entropy_category) as entropy_class, {first_of(('1.0 * count(*) filter (where t.is_stationary) / count(*) >= 0.5', 'stationary'), other='non-stationary')} as stationarity_class,
-       {first_of(('avg(f.ftle) > 0.01', 'chaotic'), ('avg(f.ftle) > -0.01', 'edge-of-chaos'), other='stable')} as stability_class, {r('avg(f.ftle)', 10)} as lyapunov, {r('avg(t.mean_drift)', 10)} as mean_drift, {r('avg(e.normalized_entropy)', 10)} as entropy, {r('avg(h.hurst)', 10)} as hurst, max(g.n_regimes) as regime_id,
+       {first_of(('avg(f.ftle) > 0.01', 'chaotic'), ('avg(f.ftle) > -0.01', 'edge-of-chaos'), other='stable')} as stability_class, {r('avg(f.ftle)', 13)} as lyapunov, {r('avg(t.mean_drift)', 13)} as mean_drift, {r('avg(e.normalized_entropy)', 13)} as entropy, {r('avg(h.hurst)', 13)} as hurst, max(g.n_regimes) as regime_id,
        {first_of(('sum(coalesce(c.out_degree, 0)) > 0 and sum(coalesce(c.in_degree, 0)) > 0', 'HUB'), ('sum(coalesce(c.out_degree, 0)) > 0', 'SOURCE'), ('sum(coalesce(c.in_degree, 0)) > 0', 'SINK'), other='ISOLATE')} as causal_role, sum(coalesce(c.out_degree, 0)) as n_drives, sum(coalesce(c.in_degree, 0)) as n_driven_by
 from @v_signal_typology t left join @v_autocorr_lag1 a on t.cohort = a.cohort and t.signal_id = a.signal_id left join @v_shannon_entropy e on t.cohort = e.cohort and t.signal_id = e.signal_id left join @ftle_summary f on t.cohort = f.cohort and t.signal_id = f.signal_id
 left join (select cohort, signal_id, avg(hurst) as hurst from @signal_features group by cohort, signal_id) h on t.cohort = h.cohort and t.signal_id = h.signal_id left join (select cohort, signal_id, count(*) as n_regimes from @v_regime_stats group by cohort, signal_id) g on t.cohort = g.cohort and t.signal_id = g.signal_id
 left join @v_causal_roles c on t.cohort = c.cohort and t.signal_id = c.signal_id group by t.signal_id""")
 view("signal_pairs", f"""
-select signal_a, signal_b, {r('avg(instant_correlation)', 10)} as instant_correlation, min(optimal_lag) as optimal_lag, {ladder('abs(avg(instant_correlation))', '>', (0.7, 'strong'), (0.3, 'moderate'), other='weak')} as correlation_strength, case when avg(instant_correlation) >= 0 then 'positive' else 'negative' end as correlation_direction
+select signal_a, signal_b, {r('avg(instant_correlation)', 13)} as instant_correlation, min(optimal_lag) as optimal_lag, {ladder('abs(avg(instant_correlation))', '>', (0.7, 'strong'), (0.3, 'moderate'), other='weak')} as correlation_strength, case when avg(instant_correlation) >= 0 then 'positive' else 'negative' end as correlation_direction
 from @v_geometry_complete where signal_a < signal_b and instant_correlation is not null group by signal_a, signal_b""")
 
 # --- charts and graph ----------------------------------------------------------------------------------------------

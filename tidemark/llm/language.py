@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import batch_rows, held_out, mix64, table
+from ._common import batch_rows, held_out, mix64, release, table
 
 DIMS = 4096
 SAMPLE_DOCS = 2000
@@ -82,6 +82,12 @@ def clustered(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, centroids: int = CENTROIDS) -> dict | None:
     """idf, centroids, the language of each, and the least cosine accepted by each."""
+    model = _learned(docs, sample_docs, centroids)
+    release()
+    return model
+
+
+def _learned(docs: DataFrame, sample_docs: int, centroids: int) -> dict | None:
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each label
     if not per:

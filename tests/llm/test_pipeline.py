@@ -50,3 +50,19 @@ def test_stages_on_an_empty_table(spark, none):
     for name, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, SF), name)
     assert docs.count() == 0
+
+
+def test_lean_functions_give_the_same():
+    from tidemark.llm._common import lean
+
+    def stream(batches):
+        for b in batches:
+            yield b + 1
+
+    def group(t):
+        return t * 2
+
+    def both(key, left, right):
+        return key, left + right
+
+    assert list(lean(stream)([1, 2])) == [2, 3] and lean(group)(4) == 8 and lean(both)("k", 1, 2) == ("k", 3)

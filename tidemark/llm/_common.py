@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import inspect
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +35,41 @@ def batch_rows(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
-def release() -> None:
-    """Gives what the allocators of this process keep of freed memory back to the system; after large temporary arrays on the driver, whose room is small."""
-    gc.collect()
+def release(collect: bool = True) -> None:
+    """Gives what the allocators of this process keep of freed memory back to the system; after large temporary arrays, where others need the room."""
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     if trim is not None:
         trim(0)
 
 
+def lean(f):
+    """f for Python workers, which outlive their tasks: what a stream of batches, a group or a pair of groups took is given back when f is done."""
+    if inspect.isgeneratorfunction(f):
+
+        def stream(batches):
+            yield from f(batches)
+            release(False)
+
+        return stream
+
+    def group(t):
+        try:
+            return f(t)
+        finally:
+            release(False)
+
+    def both(key, left, right):
+        try:
+            return f(key, left, right)
+        finally:
+            release(False)
+
+    return group if f.__code__.co_argcount == 1 else both
+
+
 def held_out(doc_id="doc_id"):
     """The fold that is never learned from: crc32 of the id as text, modulo 3, is 1 (a null id is not held out)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))

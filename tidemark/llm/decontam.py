@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import STEP_BYTES, batch_rows, ranges, steps, table, utf8, written
+from ._common import STEP_BYTES, batch_rows, lean, ranges, steps, table, utf8, written
 from ._words import ALNUM, grams, words
 
 #: Fixed masks; 0 ignores a word. With other limits below they are to be derived anew.
@@ -169,7 +169,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     text, item, *rest = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column(0)[a:].take(pa.array(text)), pa.array([held.value["ids"][i] for i in item], pa.int64()), *(pa.array(r, pa.int64()) for r in rest)], names=[x.split()[0] for x in OUT.split(", ")])
 
-        return ids.mapInArrow(work, OUT)
+        return ids.mapInArrow(lean(work), OUT)
 
     done = by_block(spark, benchmark, step)
     return functools.reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], OUT)
@@ -189,7 +189,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield b.filter(pa.array(keep))
 
         left = before[-1] if before else docs
-        return left.mapInArrow(work, docs.schema)
+        return left.mapInArrow(lean(work), docs.schema)
 
     done = by_block(spark, benchmark, step)
     return done[-1] if done else docs

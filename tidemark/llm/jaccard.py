@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import batch_rows, erase, mix64, steps, table, utf8, written
+from ._common import batch_rows, erase, lean, mix64, steps, table, utf8, written
 from ._words import NOT_BLANK, grams, words
 
 WIDTH = 5
@@ -195,7 +195,7 @@ def dealt(once: DataFrame, buckets: int) -> DataFrame:
         if size:
             yield from flush(ks, who, members)
 
-    return once.select("id", "text").mapInArrow(work, "bucket int, hot boolean, blob binary")
+    return once.select("id", "text").mapInArrow(lean(work), "bucket int, hot boolean, blob binary")
 
 
 def _blob(key: np.ndarray, of: np.ndarray, members: np.ndarray, wide: bool) -> bytes:
@@ -280,7 +280,7 @@ def matched(bucketed: DataFrame, buckets: int) -> DataFrame:
                 out.append(rows(False, len(new), key=p[new, 2].copy(), a=p[new, 0].copy(), b=p[new, 1].copy(), slack=np.diff(np.r_[new, len(p)]).astype(np.int32)))
         return pa.Table.from_batches(out or [rows(False, 0)])
 
-    return bucketed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(group, FOUND)
+    return bucketed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lean(group), FOUND)
 
 
 def agreeing(found: DataFrame, hot: DataFrame) -> DataFrame:
@@ -312,7 +312,7 @@ def classes(docs: DataFrame) -> DataFrame:
             n, node, bits = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "name", "n_shingles", "node", "sketch"])
 
-    return docs.select("doc_id", text_name().alias("name"), "text").mapInArrow(work, "doc_id long, name string, n_shingles long, node binary, sketch binary")
+    return docs.select("doc_id", text_name().alias("name"), "text").mapInArrow(lean(work), "doc_id long, name string, n_shingles long, node binary, sketch binary")
 
 
 def near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -326,7 +326,7 @@ def near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             keep = [(min(x, y), max(x, y)) for x, y, p, q, s, t in n if hamming(s, t) <= most_apart(p, q)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in keep], pa.int64()), pa.array([y for _, y in keep], pa.int64())], names=["a", "b"])
 
-    return both.select("a", "b", "a_n", "b_n", "a_s", "b_s").mapInArrow(work, "a long, b long").distinct()
+    return both.select("a", "b", "a_n", "b_n", "a_s", "b_s").mapInArrow(lean(work), "a long, b long").distinct()
 
 
 def probable(ids: DataFrame) -> bytes:
@@ -352,7 +352,7 @@ def sets_of(once: DataFrame, wanted: DataFrame) -> DataFrame:
             b = b.filter(pa.array((bits[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(w).tobytes() for w in texts_of(b.column(1))], pa.binary())], names=["id", "h"])
 
-    likely = once.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit")).mapInArrow(work, "id long, h binary")
+    likely = once.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit")).mapInArrow(lean(work), "id long, h binary")
     return likely.join(wanted, "id", "left_semi").dropDuplicates(["id"])
 
 
@@ -372,7 +372,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([ids[k][i] for i in keep], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(lean(work), "a long, b long")
 
 
 def crowded(nodes: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -386,7 +386,7 @@ def crowded(nodes: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
                     part = h[a : a + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b.column(0)[i].as_py())), pa.array(part)], names=["id", "shingle"])
 
-    entries = written(sets.join(nodes.select("id"), "id").select("id", "h").mapInArrow(spread, "id long, shingle long"), "entries")
+    entries = written(sets.join(nodes.select("id"), "id").select("id", "h").mapInArrow(lean(spread), "id long, shingle long"), "entries")
     often = written(entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "often")
     rare = entries.join(often.filter(F.col("often") <= HOT), "shingle").select("shingle", "id")
     pairs = written(rare.withColumnRenamed("id", "a").join(rare.withColumnRenamed("id", "b"), "shingle").filter("a < b").select("a", "b").distinct(), "rare")
@@ -435,7 +435,7 @@ def blockwise(members: DataFrame, nodes: DataFrame) -> DataFrame:
                 found.update((min(ids[i], ids[j]), max(ids[i], ids[j])) for i in at[np.bitwise_count(p ^ q).sum(1) <= most])
         return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    return rows.groupBy("leader", "i", "j").applyInArrow(group, "a long, b long").distinct()
+    return rows.groupBy("leader", "i", "j").applyInArrow(lean(group), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import batch_rows, held_out, mix64, release, table
+from ._common import batch_rows, held_out, lean, mix64, release, table
 
 DIMS = 4096
 SAMPLE_DOCS = 2000
@@ -103,7 +103,7 @@ def _learned(docs: DataFrame, sample_docs: int, centroids: int) -> dict | None:
                 c = counts([t.lower() for t in b.column(1)[a : a + STEP_DOCS].to_pylist()])
                 yield pa.RecordBatch.from_arrays([b.column(0)[a : a + STEP_DOCS], pa.array([x.tobytes() for x in c], pa.binary())], names=["lang", "c"])
 
-    got = part.mapInArrow(vec, "lang string, c binary").toArrow().sort_by([("lang", "ascending"), ("c", "ascending")])
+    got = part.mapInArrow(lean(vec), "lang string, c binary").toArrow().sort_by([("lang", "ascending"), ("c", "ascending")])
     langs = np.array(got["lang"].to_pylist())
     if not len(langs):
         return None
@@ -152,7 +152,7 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0)[a : a + STEP_DOCS], pa.array(names, pa.string()), pa.array(score), pa.array(reject)], names=["doc_id", "lang_pred", "score", "rejected"])
 
     batch_rows(spark)
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", "text").mapInArrow(lean(work), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def accepted(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -167,7 +167,7 @@ def accepted(docs: DataFrame, model: dict | None) -> DataFrame:
                 yield part.filter(pa.array(~judged(part.column(at).to_pylist(), held.value)[2]))
 
     batch_rows(spark)
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(lean(work), docs.schema)
 
 
 def op6_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import batch_rows, steps, table, utf8, written
+from ._common import batch_rows, lean, steps, table, utf8, written
 
 MAX_LEN = 2048
 #: Words whose ids a Python worker remembers, from task to task; beyond it the memory starts anew.
@@ -119,7 +119,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, max_len: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 5 else pa.int64()) for k, c in enumerate(cols)], names=[x.split()[0] for x in PIECE.split(", ")])
 
     batch_rows(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECE)
+    return docs.select("doc_id", "text").mapInArrow(lean(cut), PIECE)
 
 
 def patterns(histogram: dict[int, int], max_len: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
@@ -196,7 +196,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, max_len: int = MAX_LE
                 seq[at], off[at] = row[:, 2] + k // row[:, 1], row[:, 3] + k % row[:, 1] * n
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(off)], names=[*b.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(place), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def tokenizer_path() -> str:

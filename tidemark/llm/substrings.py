@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import STEP_BYTES, batch_rows, erase, mix64, ranges, steps, table, utf8, written
+from ._common import STEP_BYTES, batch_rows, erase, lean, mix64, ranges, steps, table, utf8, written
 from ._suffix import suffix_array
 
 LENGTH, GRAM = 50, 24
@@ -195,8 +195,8 @@ def shared(texts: DataFrame, buckets: int) -> DataFrame:
         stretch = t["stretch"].to_pylist()
         return tabled(TOLD, [(stretch[of[a]], key[a:z].tobytes() + hot[a:z].tobytes()) for a, z in cuts(of)])
 
-    sent = texts.select("stretch", "text").mapInArrow(send, SENT_SQL)
-    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(tell, TOLD_SQL)
+    sent = texts.select("stretch", "text").mapInArrow(lean(send), SENT_SQL)
+    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lean(tell), TOLD_SQL)
 
 
 # --- contexts ----------------------------------------------------------------------------------------------------------
@@ -278,7 +278,7 @@ def contexts(texts: DataFrame, known: DataFrame, key_buckets: int, buckets: int)
                 rows.append((int(bucket[number[o[0]]]), stretch, wide, packed(len(own).to_bytes(8, "little") + head.tobytes() + b"".join(own))))
         return tabled(SENT, rows)
 
-    return texts.groupBy("stretch").cogroup(known.groupBy("stretch")).applyInArrow(send, SENT_SQL)
+    return texts.groupBy("stretch").cogroup(known.groupBy("stretch")).applyInArrow(lean(send), SENT_SQL)
 
 
 _ONE = [bytes([i]) for i in range(256)]
@@ -401,7 +401,7 @@ def settled(sent: DataFrame, buckets: int) -> DataFrame:
                 out.append((stretch, packed(flat.tobytes())))
         return tabled(TOLD, out)
 
-    return sent.filter("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(tell, TOLD_SQL)
+    return sent.filter("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lean(tell), TOLD_SQL)
 
 
 OUT = pa.schema([("sha", pa.string()), ("removed", pa.int64()), ("runs", pa.int64()), ("sha_kept", pa.string()), ("kept", pa.string())])
@@ -440,7 +440,7 @@ def cut(texts: DataFrame, places: DataFrame, answers: DataFrame, with_text: bool
         return tabled(OUT, rows)
 
     told = places.select("stretch", "blob", F.lit(True).alias("places")).unionByName(answers.select("stretch", "blob", F.lit(False).alias("places")))
-    return texts.groupBy("stretch").cogroup(told.groupBy("stretch")).applyInArrow(work, OUT_SQL)
+    return texts.groupBy("stretch").cogroup(told.groupBy("stretch")).applyInArrow(lean(work), OUT_SQL)
 
 
 def text_name(text="text"):

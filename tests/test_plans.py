@@ -120,7 +120,7 @@ def test_eigenvalues_are_those_of_the_kernel(spark):
 
 
 #: Views that join a side of one row, made by an aggregate without keys, to each row of the other.
-ONE_ROW = set("v_metric_performance v_threshold_performance fleet_departure v_deviation_fleet_summary v_system_causal_structure v_index_coverage v_regime_summary v_export_system_json v_system_dashboard v_api_overview v_index_result".split())
+ONE_ROW = set("v_metric_performance v_threshold_performance fleet_departure v_deviation_fleet_summary v_system_causal_structure v_index_coverage v_regime_summary v_export_system_json v_system_dashboard v_api_overview v_index_result v_dataset_overview".split())
 
 
 def test_no_view_compares_all_rows_with_all(spark):

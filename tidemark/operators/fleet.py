@@ -15,10 +15,11 @@ def _corr(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
 
 
-def cohort_discovery(obs: DataFrame, block: int = 64, least: int = 3) -> DataFrame:
+def cohort_discovery(obs: DataFrame, least: int = 3) -> DataFrame:
     """Per signal: mean |correlation| of its series between pairs of cohorts, and its class CONSTANT, SYSTEM, MIXED or COMPONENT.
 
-    Rows meet by (signal_id, s0); pairs are formed between cohorts at one place, and their products are summed before the shuffle by pair."""
+    Rows meet by (signal_id, s0); pairs are formed between cohorts at one place, and their products are summed before the shuffle by pair.
+    As the mean is of absolute values, the work grows with the square of the number of cohorts that share a signal."""
     rows = obs.filter("value is not null").groupBy("signal_id", "s0", "cohort").agg(F.avg("value").alias("v"))
     a, b = rows.alias("a"), rows.alias("b")
     pairs = a.join(b, (F.col("a.signal_id") == F.col("b.signal_id")) & (F.col("a.s0") == F.col("b.s0")) & (F.col("a.cohort") < F.col("b.cohort")))
